@@ -40,32 +40,48 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return level.select("_source", "source_size", F.least(F.col("limit"), F.greatest(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): copies is how often the mix takes the row."""
+def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (_id, _source, size, hash), and for each source (s, source_size, target, times, threshold); how many sources."""
     sized = cut(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.size(words(F.col(text))).cast("long").alias("size")).withColumn("hash", hash36(F.col("_id"))))
     sizes = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
     n = sizes.count()
-    plan = targets(sizes, weights, share, cap)
-    plan = plan.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    plan = plan.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")).withColumn("before", F.lit(0).cast("long")).withColumn("prefix", F.lit(0).cast("long"))
-    plan = cut(plan)  # a row a source: each level reads it and adds to it
+    p = targets(sizes, weights, share, cap)
+    p = p.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
+    p = p.withColumn("rest", F.col("target") - F.col("times") * F.col("source_size")).withColumn("before", F.lit(0).cast("long")).withColumn("prefix", F.lit(0).cast("long"))
+    p = cut(p)  # a row a source: each level reads it and adds to it
     for i in range(LEVELS):
         shift = BITS * (LEVELS - 1 - i)
-        p = plan.select(F.col("_source").alias("s"), "rest", "before", "prefix")
-        inside = sized.join(small(p, n), same(F.col("_source"), F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")) & (F.col("rest") > 0))
+        now = p.select(F.col("_source").alias("s"), "rest", "before", "prefix")
+        inside = sized.join(small(now, n), same(F.col("_source"), F.col("s")) & (F.shiftright("hash", shift + BITS) == F.col("prefix")) & (F.col("rest") > 0))
         bins = inside.groupBy("_source", F.shiftright("hash", shift).alias("bin")).agg(F.sum("size").alias("sum"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         upto = F.col("before") + F.sum("sum").over(W.partitionBy("_source").orderBy("bin"))
         edge = bins.withColumn("upto", upto).filter((F.col("upto") - F.col("sum") < F.col("rest")) & (F.col("upto") >= F.col("rest")))
         edge = edge.select(F.col("_source").alias("s"), F.col("bin").alias("bin"), (F.col("upto") - F.col("sum")).alias("lower"), F.col("upto").alias("upper"))
-        joined = plan.join(edge, same(F.col("_source"), F.col("s")), "left")
+        joined = p.join(edge, same(F.col("_source"), F.col("s")), "left")
         last = i == LEVELS - 1
         # The last bin is one hash: it goes in if that brings the sum nearer to the budget.
         prefix = F.coalesce(F.col("bin") + (F.when(F.col("lower") + F.col("upper") < 2 * F.col("rest"), 1).otherwise(0) if last else F.lit(0)), F.lit(0))
-        plan = cut(joined.select("_source", "source_size", "target", "times", "rest", F.coalesce("lower", F.lit(0).cast("long")).alias("before"), prefix.cast("long").alias("prefix")))
-    final = plan.select(F.col("_source").alias("s"), "source_size", "target", "times", F.col("prefix").alias("threshold"))
+        p = cut(joined.select("_source", "source_size", "target", "times", "rest", F.coalesce("lower", F.lit(0).cast("long")).alias("before"), prefix.cast("long").alias("prefix")))
+    return sized, p.select(F.col("_source").alias("s"), "source_size", "target", "times", F.col("prefix").alias("threshold")), n
+
+
+def _copies(hashed: Column) -> Column:
+    return (F.col("times") + F.when(hashed < F.col("threshold"), 1).otherwise(0)).cast("long")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): copies is how often the mix takes the row."""
+    sized, final, n = plan(docs, doc_id, text, source, **how)
     out = sized.join(small(final, n), same(F.col("_source"), F.col("s")))
-    copies = F.col("times") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    return out.select(F.col("_id").alias(doc_id), F.col("_source").alias(source), "size", "source_size", "target", "hash", copies.cast("long").alias("copies"), "times", "threshold")
+    return out.select(F.col("_id").alias(doc_id), F.col("_source").alias(source), "size", "source_size", "target", _copies(F.col("hash")).alias("copies"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it."""
+    _, final, n = plan(docs, doc_id, text, source, **how)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{source}`").alias("_source"), hash36(F.col(f"`{doc_id}`")).alias("_hash"))
+    taken = rows.join(small(final, n), same(F.col("_source"), F.col("s"))).withColumn("_copies", _copies(F.col("_hash"))).filter("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,13 +84,16 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFr
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
     """Kept documents with their failing lines removed and the columns of docs; n_chars, where there is one, follows the text."""
-    df = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text")), "_text", rules).filter("kept")
-    return df.select(*[
+    df = measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text")), "_text", rules)
+    new = [
         F.col("cleaned").alias(c) if c == text
         else F.length("cleaned").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
         else F.col("_row")[c].alias(c)
         for c in docs.columns
-    ])
+    ]
+    # A filter on kept would be pushed below the measures and have them computed twice; a generated row is not.
+    kept = df.select(F.inline_outer(F.when(F.col("kept"), F.array(F.struct(F.lit(True).alias("_kept"), F.struct(*new).alias("_new"))))))
+    return kept.filter("_kept").select(*[F.col("_new")[c].alias(c) for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,20 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, quality, secrets, sql
+from . import bpe, licenses, linededup, mixing, neardup, pii, quality, secrets, sql, suffixdedup, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": licenses.op1_license_scan,
+        "op2_topk_search": topk.op2_topk_search,
         "op3_mixing": mixing.op3_mixing,
         "op4_secret_scan": secrets.op4_secret_scan,
+        "op5_near_dedup": neardup.op5_near_dedup,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_personal_data": pii.op7_personal_data,
         "op8_line_dedup": linededup.op8_line_dedup,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk_search": sql.OP2,
         "op3_mixing": sql.OP3,
         "op4_secret_scan": sql.OP4,
         "op8_line_dedup": sql.OP8,
