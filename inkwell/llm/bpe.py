@@ -28,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+from .common import small_batches
 
 #: Bytes of text in a piece.
 PIECE = 16 << 20
@@ -130,6 +132,7 @@ def _unpack(x: bytes) -> bytes:
 def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), path: str | None = None) -> DataFrame:
     """(carried columns, n_tokens long, ids binary: little-endian unsigned 32-bit, decoded string) of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or public_path()
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").alias("t"))
@@ -170,8 +173,6 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["piece", "rows"])
 
     fields = [rows.schema[f"c{i}"] for i in range(len(carry))]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
 
     def join(left: Iterator[pa.RecordBatch] | pa.Table, right: pa.Table) -> pa.Table:

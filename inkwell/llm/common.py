@@ -42,6 +42,13 @@ def remove(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, unless the session sets a size of its own: texts are long, and a task holds a batch several times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, str(8 << 20))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast df if it has at most BROADCAST_ROWS rows; rows is its measured count."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

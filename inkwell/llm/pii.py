@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("spelled_email", "local_phone", "identity")
@@ -123,6 +123,7 @@ def votes(text: str, kind: int, a: int, b: int) -> int:
 
 def scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(carried columns, found array<struct<kind,start,end,pattern>>) of every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").alias("t"))
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("pattern", pa.int32())]))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .anchors import GRAM, LENGTH, anchors
-from .common import cut, remove, same
+from .common import cut, remove, same, small_batches
 
 #: Different contexts in a bucket that is sorted at once; larger ones are dealt anew.
 LIMIT = 256
@@ -206,6 +206,7 @@ def _texts_of(rows: DataFrame, what: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents that may hold repeats, (id, th, text), and marks on them, (id, th, start, end) in bytes; marks may overlap."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(f"`{text}`").alias("text"))
     every = cut(anchored(rows))
     often = cut(every.groupBy("ah").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("ah"))
