@@ -4,8 +4,8 @@ A notice with k allowed edits is split into k+1 seeds, one of which stands
 unchanged in every place that is within k edits (pigeonhole). An Aho-Corasick
 automaton finds all seeds; around each, the regex library's bounded-error
 matching verifies the edits and reports the span. Places without edits are the
-base places; words that tell licenses apart (numbers, short words) must stand
-unchanged in every place.
+base places; names and numbers that tell licenses apart must stand unchanged in
+every place.
 
 Texts are searched as their words (letters, digits and everything beyond
 ASCII; A-Z lower-cased) joined by one space.
@@ -22,28 +22,27 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import small_batches
+
 
 @dataclass(frozen=True)
 class Notice:
     phrase: str
     label: str
     edits: int
+    #: Words that tell this license from others, and so must stand unchanged.
+    names: tuple[str, ...]
     #: Whether its unchanged places are base places.
     base: bool = False
 
-    @property
-    def fixed(self) -> frozenset[str]:
-        """Words that must stand unchanged."""
-        return frozenset(w for w in self.phrase.split() if len(w) <= 4)
-
 
 NOTICES = (
-    Notice("under the mit license", "mit", 2, True),
-    Notice("apache license version 2", "apache-2", 2, True),
-    Notice("cc by nc", "cc-by-nc", 0, True),
-    Notice("gnu general public license", "gpl", 2),
-    Notice("mozilla public license", "mpl", 2),
-    Notice("bsd 3 clause license", "bsd-3-clause", 1),
+    Notice("under the mit license", "mit", 2, ("mit",), True),
+    Notice("apache license version 2", "apache-2", 2, ("2",), True),
+    Notice("cc by nc", "cc-by-nc", 0, (), True),
+    Notice("gnu general public license", "gpl", 2, ("gnu",)),
+    Notice("mozilla public license", "mpl", 2, ("mozilla",)),
+    Notice("bsd 3 clause license", "bsd-3-clause", 1, ("bsd", "3")),
 )
 
 #: Bytes that are no part of a word become spaces.
@@ -105,7 +104,7 @@ class Scanner:
                     continue
                 for m in self.match[i].finditer(text, a, min(b, len(text))):
                     s, e = m.span()
-                    if sum(m.fuzzy_counts) and not any(s < y and x < e for x, y in taken) and notice.fixed <= set(m.group().split()):
+                    if sum(m.fuzzy_counts) and not any(s < y and x < e for x, y in taken) and set(notice.names) <= set(m.group().split()):
                         out.append((s, e, i, sum(m.fuzzy_counts)))
         return sorted(out)
 
@@ -118,6 +117,7 @@ def scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id"
 
     places: label:first word:word after the last:edits, comma-joined.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").alias("t"))
 
     def run(batches):
