@@ -177,7 +177,7 @@ def read_document(lines: list[tuple[int, str]]) -> tuple[list[str], set[int]]:
 def table_sentences(lines: DataFrame, doc: str = "doc_id", page: str = "page", line_no: str = "line_no", line: str = "line") -> DataFrame:
     """(doc, idx, sentence, table_pages) from rows (doc, page, line_no, line)."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([page, line_no])
         found, pages = read_document(list(zip(pdf[page], pdf[line], strict=True)))
         return pd.DataFrame({doc: [key[0]] * len(found), "idx": range(len(found)), "sentence": found, "table_pages": [sorted(map(int, pages))] * len(found)})

@@ -38,7 +38,7 @@ def rank(graph: DataFrame, doc: str = "doc_id", damping: float = DAMPING, rounds
     """(doc, node, score, iterations), converged in each document on its own. A column n counts its nodes where some have no edge."""
     kind = graph.schema["src"].dataType.simpleString()
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["src", "dst"])
         codes, nodes = pd.factorize(pd.concat([pdf.src, pdf.dst]), sort=True)
         n, of = len(pdf), int(pdf.n.iloc[0]) if "n" in pdf else len(nodes)
