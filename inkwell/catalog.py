@@ -173,7 +173,7 @@ def particle_inline(spark, d):
     return words.select("word", t.particle(F.col("word")).alias("particle"))
 
 
-@query("""SELECT page_id, sha256(html) AS hash, CASE WHEN strlen(html) < 1024 THEN format('{:.1f} B', strlen(html)::DOUBLE) ELSE format('{:.1f} KB', strlen(html) / 1024.0) END AS size,
+@query("""SELECT page_id, sha256(html) AS hash, CASE WHEN strlen(html) < 1024 THEN format('{:.1f} B', strlen(html)::DOUBLE) ELSE format('{:.1f} KB', floor(strlen(html) / 102.4 + 0.5) / 10) END AS size,
   trim(translate(url, '\\/:*?"<>|', '_________')) AS name FROM pages""")
 def page_files(spark, d):
     p = table(spark, d, "pages")
@@ -369,7 +369,7 @@ _COV = f"WITH {_D}, {_N}, {_counts('d', 'c')}, {_SINGLE}, {_TOP10}, {_PAIR}, {_S
 @query(f"""{_COV} SELECT doc_id, round((count(*) FILTER (status = 'covered') + 0.5 * count(*) FILTER (status = 'partial')) / count(*), 4)::DOUBLE AS coverage_rate,
   coalesce(string_agg(term, ' ' ORDER BY rank) FILTER (status = 'covered'), '') AS covered, coalesce(string_agg(term, ' ' ORDER BY rank) FILTER (status = 'partial'), '') AS partial, coalesce(string_agg(term, ' ' ORDER BY rank) FILTER (status = 'missing'), '') AS missing FROM st GROUP BY doc_id""")
 def coverage(spark, d):
-    out = covered(spark, d).select("doc_id", similarity.coverage(F.col("keywords"), F.col("note")).alias("c"))
+    out = covered(spark, d).select("doc_id", t.pinned(similarity.coverage(F.col("keywords"), F.col("note"))).alias("c"))
     return out.select("doc_id", "c.coverage_rate", *[F.array_join(f"c.{x}", " ").alias(x) for x in ("covered", "partial", "missing")])
 
 
@@ -381,7 +381,7 @@ def keyword_density(spark, d):
 @query(f"""WITH {_D}, {_N}, {_PAIR} SELECT doc_id, round({_cos('tokens', 'note')}, 4)::DOUBLE AS similarity, ({_cos('tokens', 'note')}) >= 0.3 AS is_similar,
   array_to_string(list_sort(list_intersect(list_distinct(tokens), list_distinct(note))), ' ') AS common, len(list_filter(list_distinct(tokens), lambda x: NOT list_contains(note, x)))::INTEGER AS n_a, len(list_filter(list_distinct(note), lambda x: NOT list_contains(tokens, x)))::INTEGER AS n_b FROM pr""")
 def compare_docs(spark, d):
-    out = paired(spark, d).select("doc_id", similarity.compare(F.col("tokens"), F.col("note")).alias("x"))
+    out = paired(spark, d).select("doc_id", t.pinned(similarity.compare(F.col("tokens"), F.col("note"))).alias("x"))
     return out.select("doc_id", "x.similarity", "x.is_similar", F.array_join("x.common_words", " ").alias("common"), F.size("x.only_a").alias("n_a"), F.size("x.only_b").alias("n_b"))
 
 
@@ -402,7 +402,7 @@ def rank_by_coverage(spark, d):
 SELECT * FROM (SELECT doc_id, term AS word, status, round(w * score + 1e-9, 6) AS importance, round(avg(w) OVER (PARTITION BY doc_id), 4) AS gap_rate FROM w) WHERE status <> 'covered'""")
 def gap_detect(spark, d):
     top = tfidf.fit_single(docs(spark, d), k=10).withColumnRenamed("term", "word")
-    c = covered(spark, d).select("doc_id", similarity.coverage(F.col("keywords"), F.col("note")).alias("c"))
+    c = covered(spark, d).select("doc_id", t.pinned(similarity.coverage(F.col("keywords"), F.col("note"))).alias("c"))
     status = c.select("doc_id", F.explode(F.concat(*[F.transform(f"c.{x}", _as(x)) for x in ("covered", "partial", "missing")])).alias("x")).select("doc_id", "x.*")
     return similarity.gaps(status, top)
 
@@ -644,7 +644,7 @@ def score_history(spark, d):
     return scores.history(history_rows(spark, d))
 
 
-@query(f"WITH {_H}, a AS (SELECT doc_id, chapter, round(avg(total_score), 1) AS avg_score FROM h GROUP BY ALL) SELECT doc_id, chapter, substr(chapter, 1, 12) AS label, avg_score FROM a QUALIFY count(*) OVER (PARTITION BY doc_id) > 1")
+@query(f"WITH {_H}, a AS (SELECT doc_id, chapter, round(round(avg(total_score), 6), 1) AS avg_score FROM h GROUP BY ALL) SELECT doc_id, chapter, substr(chapter, 1, 12) AS label, avg_score FROM a QUALIFY count(*) OVER (PARTITION BY doc_id) > 1")
 def chapter_avg(spark, d):
     return scores.chapter_averages(history_rows(spark, d))
 
@@ -672,10 +672,32 @@ def report_coverage(spark, d):
 
 @query(f"{_COV}, g AS (SELECT doc_id, status AS part, count(*) AS n FROM st GROUP BY ALL) SELECT doc_id, part, n, round(coalesce(sum(n) FILTER (part = 'covered') OVER (PARTITION BY doc_id), 0) / sum(n) OVER (PARTITION BY doc_id) * 100, 1) AS pct FROM g")
 def donut(spark, d):
-    c = covered(spark, d).select("doc_id", similarity.coverage(F.col("keywords"), F.col("note")).alias("c"))
+    c = covered(spark, d).select("doc_id", t.pinned(similarity.coverage(F.col("keywords"), F.col("note"))).alias("c"))
     return scores.donut(c.select("doc_id", *[F.size(f"c.{k}").cast("long").alias(f"{k}_count") for k in ("covered", "partial", "missing")]))
 
 
+@query()
+def score_cards(spark, d):
+    return scores.cards(reported(spark, d))
+
+
+@query()
+def score_listing(spark, d):
+    titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"))
+    return scores.score_listing(history_rows(spark, d).select("*", F.col("doc_id").alias("document_id"), F.array("chapter").alias("missing_concepts")), titles)
+
+
+@query()
+def subject_dashboard(spark, d):
+    return scores.dashboard(subject_stats(spark, d))
+
+
+@query()
+def refined_sentences(spark, d):
+    x = said(spark, d)
+    return x.select("doc_id", F.posexplode_outer(t.pinned(sentences.refine(F.col("sentences")))).alias("sid", "sentence"))
+
+
 # Store.
 
 

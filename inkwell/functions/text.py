@@ -127,7 +127,7 @@ def human_size(c: Column) -> Column:
     units = ["B", "KB", "MB", "GB"]
     out = F.format_string("%.1f TB", c / 1024**4)
     for i, unit in reversed(list(enumerate(units))):
-        out = F.when(c / 1024**i < 1024, F.format_string(f"%.1f {unit}", c / 1024**i)).otherwise(out)
+        out = F.when(c / 1024**i < 1024, F.format_string(f"%.1f {unit}", F.floor(c / 1024**i * 10 + 0.5) / 10)).otherwise(out)
     return out
 
 

@@ -78,7 +78,7 @@ def keyword_coverage(report: DataFrame, keywords: DataFrame, doc: str = "doc_id"
 
 def chapter_averages(scores: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, chapter, label, avg_score) of documents with two chapters or more."""
-    avg = scores.groupBy(doc, F.coalesce("chapter", F.lit(WHOLE)).alias("chapter")).agg(F.round(F.avg("total_score"), 1).alias("avg_score"))
+    avg = scores.groupBy(doc, F.coalesce("chapter", F.lit(WHOLE)).alias("chapter")).agg(F.round(F.round(F.avg("total_score"), 6), 1).alias("avg_score"))
     several = avg.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(doc))).filter("_n > 1")
     return several.select(doc, "chapter", F.substring("chapter", 1, 12).alias("label"), "avg_score")
 
@@ -100,3 +100,34 @@ def breakdown(report: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, part, score, band) for the bars of one report."""
     parts = F.array(*[F.struct(F.lit(k).alias("part"), F.col(c).alias("score")) for k, c in (("quiz", "quiz_score"), ("coverage", "coverage_score"), ("density", "keyword_density"), ("total", "total_score"))])
     return report.select(doc, F.explode(parts).alias("p")).select(doc, "p.part", "p.score", band(F.col("p.score")).alias("band"))
+
+
+def session_listing(sessions: DataFrame, documents: DataFrame, doc: str = "document_id") -> DataFrame:
+    """(date, title, total_questions, correct_count, score) of sessions, newest first."""
+    titled = sessions.join(documents.select(F.col("id").alias(doc), "title"), doc)
+    date = F.coalesce(F.date_format("completed_at", "MM-dd HH:mm"), F.lit("-"))
+    return titled.orderBy(F.desc("started_at"), F.desc("id")).select(date.alias("date"), "title", "total_questions", "correct_count", F.format_string("%.1f점", "score").alias("score"))
+
+
+def score_listing(scores: DataFrame, documents: DataFrame, doc: str = "document_id") -> DataFrame:
+    """(date, title, score, passed, missing_count) of the score history, newest first."""
+    titled = scores.join(documents.select(F.col("id").alias(doc), "title"), doc)
+    date = F.coalesce(F.date_format("measured_at", "yyyy-MM-dd HH:mm"), F.lit("-"))
+    missing = F.when(F.col("missing_concepts").isNull(), 0).otherwise(F.size("missing_concepts"))
+    return titled.orderBy(F.desc("measured_at"), F.desc("id")).select(date.alias("date"), "title", F.format_string("%.1f점", "total_score").alias("score"), F.when(F.col("total_score") >= PASS, "통과").otherwise("미통과").alias("passed"), missing.alias("missing_count"))
+
+
+def cards(report: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, card, shown, band) of a report's score cards; dashes where a document has no history."""
+    has = F.col("session_count") > 0
+    points = lambda c: F.when(has, F.format_string("%.0f점", c)).otherwise("--")
+    rows = [("최종 점수", F.when(has, F.format_string("%.0f점 (%s)", "total_score", "grade")).otherwise("--"), F.col("total_score"))]
+    rows += [(k, points(c), F.col(c)) for k, c in (("퀴즈 점수", "quiz_score"), ("커버리지", "coverage_score"), ("키워드 밀도", "keyword_density"))]
+    rows += [("총 세션", F.format_string("%d회", "session_count"), F.lit(100.0)), ("최고 점수", points("best_score"), F.col("best_score"))]
+    packed = F.array(*[F.struct(F.lit(k).alias("card"), s.alias("shown"), F.when(v >= PASS, "ok").otherwise("warn" if k in ("커버리지", "키워드 밀도") else "danger").alias("band")) for k, s, v in rows])
+    return report.select(doc, F.explode(packed).alias("x")).select(doc, "x.*")
+
+
+def dashboard(stats: DataFrame) -> DataFrame:
+    """(subject, document_count, quiz_count, avg_score, band) of every subject, worst average first."""
+    return stats.select("*", band(F.col("avg_score")).alias("band")).orderBy("avg_score", "subject")

@@ -126,3 +126,26 @@ def with_keywords(sentences: Column, keywords: Column) -> Column:
 def or_lines(sentences: Column, text: Column) -> Column:
     """The sentences, or the text's non-empty lines where there are none."""
     return F.when(F.size(sentences) > 0, sentences).otherwise(_pieces(text, "\n"))
+
+
+# Headings of lecture notes, before which a long sentence is split.
+HEADINGS = ("학습목표", "핵심개념요약", "상세학습내용", "핵심포인트", "실무적용", "핵심키워드", "개념\\s", "정의\\s", "번호\\s", "학습\\s목표", "학습개요", "학습내용", "핵심내용", "주요내용")
+LONG = 150
+
+
+def refine(sentences: Column, most: int = LONG) -> Column:
+    """Sentences with those longer than most split further: by label, by number or clause, before headings, and before numbered items. Key:value rows stay whole."""
+    heading = f"(?U)(?<!\\A)\\s+(?={'|'.join(HEADINGS)})"
+    item = "(?U)\\s+(?=\\d{1,2}\\s+[가-힣A-Za-z(])"
+
+    def fragments(x: Column) -> Column:
+        numbered = F.split(x, NUMBERED, -1)
+        clauses = F.flatten(F.transform(numbered, lambda p: F.when(F.length(p) > 60, F.split(p, CLAUSE, -1)).otherwise(F.array(p))))
+        headed = F.flatten(F.transform(clauses, lambda p: F.split(p, heading, -1)))
+        items = F.flatten(F.transform(headed, lambda p: F.when(F.length(p) > most, F.split(p, item, -1)).otherwise(F.array(p))))
+        return F.filter(F.transform(items, strip), lambda p: F.length(p) >= LEAST)
+
+    def part(x: Column) -> Column:
+        return F.when((F.length(x) <= most) | x.rlike("(?U)\\w+:\\S"), F.array(x)).otherwise(fragments(x))
+
+    return F.flatten(F.transform(sentences, lambda s: F.when(F.length(s) <= most, F.array(s)).otherwise(F.flatten(F.transform(labelled(s), part)))))

@@ -65,3 +65,12 @@ def test_equal_beginnings_stay_once(spark):
     s = "이 문장은 충분히 길어서 남는다 그리고 같은 문장이다."
     got = sentences.split_sentences(spark.createDataFrame([(1, f"{s}\n{s}\n그 다음 문장도 충분히 길게 이어진다.")], "id int, normal string")).first()
     assert len(got.sentences) == 2
+
+
+def test_long_sentences_are_refined(spark):
+    long = "첫 번째 항목은 자료의 흐름을 설명한다 " * 5 + "핵심포인트 두 번째 항목은 자료의 저장을 설명한다 " + "1 셋째 항목을 길게 적는다 " * 8
+    got = spark.createDataFrame([([long, "짧은 문장은 그대로 남는다.", "가" * 151 + " 키:값"],)], "s array<string>").select(sentences.refine(F.col("s")).alias("r")).first().r
+    assert any(x.startswith("핵심포인트") for x in got)
+    assert "짧은 문장은 그대로 남는다." in got
+    assert got[-1] == "가" * 151 + " 키:값"
+    assert all(len(x) >= 15 for x in got)
