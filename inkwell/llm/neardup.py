@@ -9,12 +9,13 @@ registers have by chance, and what passes is verified on the full sets.
 
 Groups of copies are never expanded into pairs. Equal sets collapse into one
 representative first. In a bucket of equal bands all members are compared with
-one pivot; where a bucket still falls into several components, members of its
-other components are compared with further pivots from its largest one, and at
-last the few pairs left between components are compared all. Every two sets
-that share a band end up in one component or have been compared, or are joined
-through others, so no link between two sets that meet is lost. Sets at
-similarity 0.75 share none of the 32 bands with probability 5e-6.
+one pivot; where a bucket still falls into several components, members of the
+others are compared with a further pivot from the largest one. What is then left
+outside the largest components is compared in blocks, on full sets, with all that
+shares a bucket with it; blocks return linked pairs alone. So every two sets that
+share a band end up in one component or have been compared, and no link between
+two sets that meet is lost. Sets at similarity 0.75 share none of the 32 bands
+with probability 5e-6.
 
 Links and components stay in tables of the shared folder; components come from
 least labels with pointer jumping.
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, remove
+from .common import cut, remove, small_batches
 
 WORDS, PERCENT = 5, 75
 REGISTERS, ROWS = 128, 4
@@ -39,8 +40,10 @@ BANDS = REGISTERS // ROWS
 MANTISSA = 10
 #: Estimates this far below the threshold are not verified: over 5 standard deviations of an estimate from 128 registers.
 MARGIN = 0.22
-#: Rounds of comparing with further pivots before all pairs left are compared.
-ROUNDS = 3
+#: Rounds of comparing with further pivots before what is left is compared in blocks.
+ROUNDS = 1
+#: Sets in a chunk of a block.
+CHUNK = 512
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,6 +189,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     sig = cut(signatures(rows))
     # One representative for each distinct set.
@@ -206,12 +210,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     tried = None
     for k in range(ROUNDS + 2):
         if k:
-            pairs = _between(met, comp, tried, k, everything=k > ROUNDS)
-            if pairs is None:
+            met = _open(met, comp)
+            if met is None:
                 break
-        pairs = cut(pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        near = cut(_estimated(pairs, sizes).distinct())
+        if k > ROUNDS:
+            near = cut(_blocks(met, texts).distinct())
+        else:
+            pairs = cut(_between(met, tried, k) if k else pairs)
+            tried = pairs if tried is None else tried.union(pairs)
+            near = cut(_estimated(pairs, sizes).distinct())
         new = cut(_verified(near, texts).distinct())
         remove(near)
         if not new.isEmpty():
@@ -224,29 +231,67 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _between(met: DataFrame, comp: DataFrame, tried: DataFrame, k: int, everything: bool) -> DataFrame | None:
-    """Pairs not yet tried between components of a bucket: of another pivot in its largest component, or all that are left; None if no bucket has two components."""
-    at = cut(met.join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left").select("band", "key", "rep", F.coalesce("c", "rep").alias("c"), "pivot"))
+def _open(met: DataFrame, comp: DataFrame) -> DataFrame | None:
+    """Rows of buckets that still have several components, with their component c and the bucket's largest, main; None if there are none."""
+    at = cut(met.drop("c", "main").join(comp.select(F.col("v").alias("rep"), "c"), "rep", "left").withColumn("c", F.coalesce("c", "rep")))
     parts = at.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"))
     best = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "c")).alias("best"))
-    split_up = cut(best.filter("parts > 1").select("band", "key", F.col("best.c").alias("main")))
-    if split_up.isEmpty():
-        return None
-    some = cut(at.join(split_up, ["band", "key"]))
-    if everything:
-        one = some.select("band", "key", F.col("rep").alias("a"), F.col("c").alias("ca"))
-        # From each part but the largest to all others; two of these once.
-        two = some.filter("c <> main").select("band", "key", F.col("rep").alias("b"), F.col("c").alias("cb"), "main")
-        pairs = one.join(two, ["band", "key"]).filter("ca <> cb AND (ca = main OR a < b)")
-    else:
-        # Another member each round; by a hash, so that one pivot serves a component in many of its buckets.
-        pivot = some.filter("c = main AND rep <> pivot").groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("a"))).alias("p"))
-        pairs = some.filter("c <> main").join(cut(pivot.select("band", "key", F.col("p.a").alias("a"))), ["band", "key"]).select("a", F.col("rep").alias("b"))
+    several = cut(best.filter("parts > 1").select("band", "key", F.col("best.c").alias("main")))
+    return None if several.isEmpty() else cut(at.join(several, ["band", "key"]))
+
+
+def _between(met: DataFrame, tried: DataFrame, k: int) -> DataFrame:
+    """Pairs not yet tried of one pivot in a bucket's largest component, another each round, and the members of its other components."""
+    # By a hash, so that one pivot serves a component in many of its buckets.
+    main = met.filter("c = main AND rep <> pivot").groupBy("band", "key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("a"))).alias("p"))
+    pairs = met.filter("c <> main").join(cut(main.select("band", "key", F.col("p.a").alias("a"))), ["band", "key"]).select("a", F.col("rep").alias("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return pairs.join(done, ["a", "b"], "left_anti")
 
 
+def _blocks(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Linked pairs (a, b) between components, by comparing in blocks the sets outside a largest component with all that meet it.
+
+    A family is a largest component with all sets that share an open bucket with
+    it. Sets outside the component are dealt to chunks, and so are all sets of the
+    family; every two chunks meet in one task, which holds two chunks and returns
+    linked pairs alone.
+    """
+    family = cut(met.groupBy("main", "rep", "c").agg(F.first(F.lit(True)).alias("_")).drop("_").withColumn("other", F.col("c") != F.col("main")))
+    size = cut(family.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("k")))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / CHUNK), F.lit(1)).cast("int")
+    dealt = family.join(size, "main").select("main", "rep", "c", "other", parts("n").alias("ns"), parts("k").alias("ks"), F.xxhash64("rep").alias("h"))
+    dealt = dealt.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    left = dealt.filter("other").select("main", F.expr("cast(pmod(h, ks) AS int)").alias("i"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("j"), "rep", "c", "text").toDF("main2", "i2", "j2", "rep2", "c2", "text2")
+    right = dealt.select("main", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)).alias("i"), F.expr("cast(pmod(h, ns) AS int)").alias("j"), "rep", "c", "text")
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        sets = [[shingles(split(t)) for t in x.column(n).cast(pa.binary()).to_pylist()] for x, n in ((a, "text2"), (b, "text"))]
+        flat = np.concatenate(sets[1])
+        values, places = np.unique(flat, return_inverse=True)
+        sizes = np.array([len(s) for s in sets[1]])
+        starts = np.cumsum(sizes) - sizes
+        reps, cs = (b.column(x).to_numpy() for x in ("rep", "c"))
+        out: list[list[np.ndarray]] = [[], []]
+        for rep, c, s in zip(a.column("rep2").to_pylist(), a.column("c2").to_pylist(), sets[0], strict=True):
+            held = np.zeros(len(values), np.int32)
+            at = np.searchsorted(values, s)
+            inside = at < len(values)
+            at = at[inside]
+            held[at[values[at] == s[inside]]] = 1
+            common = np.add.reduceat(held[places], starts)
+            found = (100 * common >= PERCENT * (len(s) + sizes - common)) & (cs != c)
+            out[0].append(np.full(int(found.sum()), rep))
+            out[1].append(reps[found])
+        x, y = (np.concatenate(o) for o in out)
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.int64()), "b": pa.array(np.maximum(x, y), pa.int64())})
+
+    return left.groupBy("main2", "i2", "j2").cogroup(right.groupBy("main", "i", "j")).applyInArrow(compare, "a long, b long")
+
+
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group, with the columns of docs; of rows with one id, the least. Rows without id stay."""
     kept = link(docs, doc_id, text).filter(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
