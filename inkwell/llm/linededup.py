@@ -32,7 +32,7 @@ def _keyed(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text."""
+    """docs with n_lines, n_dropped and kept_text; columns of docs with these names give way."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rest = [c for c in docs.columns if c != text]
     base = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_row"), F.col(f"`{doc_id}`").alias("_id"), t.alias("_text"), F.col(f"`{text}`").isNull().alias("_null"), F.xxhash64(t).alias("_th"))
@@ -54,7 +54,7 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     stays = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("lost"))
     kept = F.when(F.col("lost").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stays, lambda p: F.get("_lines", p)), "\n"))
     return met.select(
-        *[F.when(~F.col("_null"), F.col("_text")).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns],
+        *[F.when(~F.col("_null"), F.col("_text")).alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")],
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"),
         kept.alias("kept_text"),

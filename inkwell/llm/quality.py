@@ -56,7 +56,7 @@ def with_lines(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> Dat
 
 
 def measure(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed, left_chars, cleaned, base_failed and kept."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines_removed, left_chars, cleaned, base_failed and kept; columns of docs with these names, or of working names that begin with _, give way."""
     k = rules.window
     t = F.coalesce(F.col(text), F.lit(""))
     df = with_lines(docs, text, rules).withColumn("_words", words(F.col(text)))

@@ -102,7 +102,7 @@ def _hot(found: Column, kind: str, chars: str, bits: float) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with spans: array<struct<start,rank,kind,end>> in order; rank is the kind's place in KINDS."""
+    """docs with spans: array<struct<start,rank,kind,end>> in order; rank is the kind's place in KINDS. Columns of docs with these names, or of working names that begin with _, give way."""
     t = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_t", t)
     df = df.withColumn("_assign", F.when(F.col("_t").rlike("[:=]"), located(F.col("_t"), ASSIGN)).otherwise(_none()))
