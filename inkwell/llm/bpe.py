@@ -179,8 +179,8 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
         codec = Codec.at(path)
         answers = {b: (n, s, x) for b, n, s, x in zip(*[right.column(c).to_pylist() for c in ("bucket", "n", "sum", "ids")], strict=True)}
         tables = []
-        for blob in left.column("rows").to_pylist():
-            held = pa.ipc.open_stream(pa.BufferReader(blob)).read_all().to_batches()
+        for blob in left.column("rows"):
+            held = pa.ipc.open_stream(pa.BufferReader(blob.as_buffer())).read_all().to_batches()
             texts = _texts(held, "t")
             ids_of: dict[bytes, bytes] = {}
             for bucket, words in enumerate(_asked(texts, buckets)):
@@ -195,15 +195,14 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
                 else:
                     ids_of.update(zip(words, codec.encode(words), strict=True))
             pieces = {w: codec.decode(x) for w, x in ids_of.items()}
-            ids, decoded = [], []
-            for t in texts:
-                words = t.split()
-                ids.append(b"".join([ids_of[w] for w in words]))
-                decoded.append(b" ".join(filter(None, [pieces[w] for w in words])))
-            kept = pa.Table.from_batches(held).drop_columns(["t"])
-            kept = kept.append_column("n_tokens", pa.array([len(x) // 4 for x in ids], pa.int64()))
-            kept = kept.append_column("ids", pa.array(ids, pa.binary()))
-            tables.append(kept.append_column("decoded", pa.array(decoded, pa.binary()).cast(pa.string())))
+            del texts
+            for batch in held:  # one batch's results as Python objects at a time
+                texts = _texts([batch], "t")
+                ids = pa.array([b"".join(map(ids_of.__getitem__, t.split())) for t in texts], pa.binary())
+                decoded = pa.array([b" ".join(filter(None, map(pieces.__getitem__, t.split()))) for t in texts], pa.binary()).cast(pa.string())
+                counts = pa.compute.divide(pa.compute.binary_length(ids), 4).cast(pa.int64())
+                kept = pa.Table.from_batches([batch]).drop_columns(["t"])
+                tables.append(kept.append_column("n_tokens", counts).append_column("ids", ids).append_column("decoded", decoded))
         return pa.concat_tables(tables) if tables else _empty(right)
 
     def _empty(right):
