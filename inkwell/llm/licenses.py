@@ -76,36 +76,40 @@ class Scanner:
         for seed, uses in of.items():
             self.find.add_word(seed, (len(seed), uses))
         self.find.make_automaton()
-        self.match = [regex.compile(rf"(?b)(?<= )(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?= )") for n in notices]
+        self.match = [regex.compile(rf"(?b)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}") for n in notices]
 
     def places(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, notice, edits) of every place in a normalised text."""
-        windows: list[list[tuple[int, int]]] = [[] for _ in self.notices]
+        """(start, end, notice, edits) of every place in a normalised text. Of overlapping edited places of one notice the one with fewest edits counts, then the leftmost, then the shortest; none that overlaps an unchanged place does."""
+        starts: list[set[int]] = [set() for _ in self.notices]
         for end, (n, uses) in self.find.iter(text):
             for i, offset in uses:
-                start = end + 1 - n - offset
-                k = self.notices[i].edits
-                a, b = max(0, start - k - 1), start + len(self.notices[i].phrase) + k + 1
-                if windows[i] and a <= windows[i][-1][1]:
-                    windows[i][-1] = (windows[i][-1][0], max(b, windows[i][-1][1]))
-                else:
-                    windows[i].append((a, b))
+                starts[i].add(end + 1 - n - offset)
         out = []
-        for i, spans in enumerate(windows):
-            notice, exact = self.notices[i], f" {self.notices[i].phrase} "
-            for a, b in spans:
-                taken = []
-                at = text.find(exact, a, b)
-                while at >= 0:  # every unchanged place, overlapping ones too
-                    taken.append((at + 1, at + len(exact) - 1))
-                    at = text.find(exact, at + 1, b)
-                out += [(s, e, i, 0) for s, e in taken]
-                if not notice.edits:
+        for i, found in enumerate(starts):
+            notice = self.notices[i]
+            n, k = len(notice.phrase), notice.edits
+            # Every seed of an unchanged place gives its start, so none is missed; overlapping ones count too.
+            exact = [s for s in found if s > 0 and text.startswith(f" {notice.phrase} ", s - 1)]
+            out += [(s, s + n, i, 0) for s in exact]
+            if not k:
+                continue
+            # Each seed's surroundings are judged on their own: edits move either end by k at most.
+            tried: set[tuple[int, int]] = set()
+            for at in found:
+                a, b = max(1, at - k), min(len(text) - 1, at + n + k)
+                if not all(f" {x} " in text[a - 1 : b + 1] for x in notice.names):
                     continue
-                for m in self.match[i].finditer(text, a, min(b, len(text))):
-                    s, e = m.span()
-                    if sum(m.fuzzy_counts) and not any(s < y and x < e for x, y in taken) and set(notice.names) <= set(m.group().split()):
-                        out.append((s, e, i, sum(m.fuzzy_counts)))
+                heads = [s for s in range(a, at + k + 1) if text[s - 1] == " "]
+                tails = [e for e in range(max(a, at + n - k), b + 1) if text[e] == " "]
+                tried.update((s, e) for s in heads for e in tails if abs(e - s - n) <= k)
+            taken, edited = {x for s in exact for x in range(s, s + n)}, []
+            for s, e in tried:
+                if set(notice.names) <= set(text[s:e].split()) and (m := self.match[i].fullmatch(text, s, e)) and sum(m.fuzzy_counts):
+                    edited.append((sum(m.fuzzy_counts), s, e))
+            for edits, s, e in sorted(edited):
+                if taken.isdisjoint(range(s, e)):
+                    taken.update(range(s, e))
+                    out.append((s, e, i, edits))
         return sorted(out)
 
 

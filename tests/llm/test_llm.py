@@ -77,6 +77,41 @@ def test_license_edits_and_limits():
     assert found("under the mitlicense") == []
 
 
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_license_places_that_stand_close():
+    s = licenses.Scanner()
+    found = lambda t: [(t[a:b], licenses.NOTICES[i].label, k) for t in [licenses.normal(t.encode())[0]] for a, b, i, k in s.places(t)]
+    assert found("undr the mit license " * 5 + "under the mit license") == [("undr the mit license", "mit", 1)] * 5 + [("under the mit license", "mit", 0)]
+    assert found("apache licence versions 2 or apache license version 1") == [("apache licence versions 2", "apache-2", 2)]
+    rng = random.Random(1)
+    for _ in range(400):  # against all pairs of a word's start and a word's end
+        said = []
+        for _ in range(rng.randint(1, 6)):
+            c = list(rng.choice(licenses.NOTICES).phrase)
+            for _ in range(rng.randint(0, 3)):
+                k = rng.randrange(len(c))
+                c[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "m", " ", "2", "é"])
+            said += ["".join(c), rng.choice(["", "under", "the public", "license", "2"])]
+        text = licenses.normal(" ".join(said).encode())[0]
+        gaps, want = [k for k, c in enumerate(text) if c == " "], []
+        for i, n in enumerate(licenses.NOTICES):
+            near = [(a + 1, b) for a in gaps for b in gaps if abs(b - a - 1 - len(n.phrase)) <= n.edits and set(n.names) <= set(text[a + 1 : b].split())]
+            taken = []
+            for k, a, b in sorted((edits_between(text[a:b], n.phrase), a, b) for a, b in near):
+                if k <= n.edits and (not k or all(b <= x or y <= a for x, y in taken)):
+                    taken.append((a, b))
+                    want.append((a, b, i, k))
+        assert s.places(text) == sorted(want)
+
+
 def test_topk_against_all(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(230, 12)).astype(np.float32) * 0.3
