@@ -434,6 +434,19 @@ def concept_extract_multi(spark, d):
     return concepts.extract_corpus(notes(spark, d), ranked=ranked_notes(spark, d))
 
 
+# Over documents, with ranks that have converged; the two above are notes with 10 rounds, as far as SQL can state them.
+
+
+@query()
+def concept_extract_docs(spark, d):
+    return concepts.extract(docs(spark, d))
+
+
+@query()
+def concept_extract_multi_docs(spark, d):
+    return concepts.extract_corpus(docs(spark, d))
+
+
 @query()
 def leading_sentences(spark, d):
     return concepts.leading_sentences(said(spark, d))
