@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -14,10 +16,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
 
 
+#: Paths written by cut() since the innermost finished() began.
+_written: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder driver and executors share: spark.checkpoint.dir. Only a local session may go without and gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = getattr(spark, "_inkwell_shared", None) or tempfile.mkdtemp(prefix="inkwell-")
         spark._inkwell_shared = where
     if spark.sparkContext.getCheckpointDir() is None:
@@ -30,16 +38,37 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _written:
+        _written[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def finished(make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of make(), written out; every other table that it wrote is deleted."""
+    _written.append([])
+    try:
+        df = make()
+        paths, _written[-1] = _written[-1], []
+        out = cut(df)
+        own = _written[-1]
+    finally:
+        _written.pop()
+    for path in paths:
+        _delete(df.sparkSession, path)
+    if _written:
+        _written[-1] += own
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def remove(df: DataFrame) -> None:
     """Delete what cut() wrote for df."""
-    spark = df.sparkSession
-    top = {name.rpartition("/")[0] for name in df.inputFiles()}
-    for path in top:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for path in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        _delete(df.sparkSession, path)
 
 
 def small_batches(spark: SparkSession) -> None:

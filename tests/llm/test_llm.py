@@ -326,6 +326,51 @@ def test_suffix_dedup(docs, corpus, empty):
     assert suffixdedup.cut_repeats(empty).count() == 0
 
 
+def passages(rows):
+    """By brute force: ids of documents with a run of bytes, each in a string of 256 that another document holds, of 50 whole words or more."""
+    of = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 255):
+            of.setdefault(b[k : k + 256], set()).add(i)
+    out = set()
+    for i, t in rows:
+        b = (t or "").encode()
+        held = np.zeros(len(b) + 2, bool)
+        for k in range(len(b) - 255):
+            if len(of[b[k : k + 256]]) > 1:
+                held[k + 1 : k + 257] = True
+        edges = np.flatnonzero(held[1:] != held[:-1])
+        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            w = re.findall(rb"[^\x20\x09-\x0D]+", b[x:y])
+            cut = [bool(re.fullmatch(rb"[^\x20\x09-\x0D]{2}", b[max(k - 1, 0) : k + 1])) for k in (x, y)]
+            if len(w) - sum(cut) >= 50:
+                out.add(i)
+    return out
+
+
+def test_shared_passages(spark, monkeypatch):
+    rng = random.Random(5)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    texts = [prose(rng.randint(10, 120)) for _ in range(60)]
+    for n in (30, 48, 50, 53, 60, 75, 90):  # passages of so many words in three documents each, one in a document twice
+        passage = prose(n)
+        for k in rng.sample(range(60), 3):
+            texts[k] += " " + passage + "\n" + prose(rng.randint(5, 40))
+    twice = prose(70)
+    texts += [f"{twice} here {twice} there", "the " * 300, prose(80), None, ""]
+    texts += [texts[-3], texts[20]]
+    rows = list(enumerate(texts)) + [(7, "a row of the same id " + texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = passages(rows)
+    assert 10 < len(want) < 50
+    plain = suffixdedup.cut_repeats(df).collect()
+    assert {r.id for r in plain if r.shares_passage} == want
+    monkeypatch.setattr(suffixdedup, "LIMIT", 3)
+    anew = suffixdedup.cut_repeats(df).collect()
+    assert sorted((r.id, r.th, r.kept, r.shares_passage) for r in anew) == sorted((r.id, r.th, r.kept, r.shares_passage) for r in plain)
+
+
 def test_large_buckets_are_dealt_anew(spark, monkeypatch):
     rng = random.Random(11)
     passage = " ".join(rng.choice(WORDS) for _ in range(150))
