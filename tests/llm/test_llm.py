@@ -193,6 +193,40 @@ def test_near_copies_with_odd_ids(spark):
     assert got == sorted([(None, None, True), (4, 2, False), (4, 2, False), (9, 2, False), (2, 2, True)], key=str)
 
 
+def test_empty_texts_link_nothing(spark):
+    rng = random.Random(2)
+    w = [rng.choice(WORDS) + str(k) for k in range(104)]
+    x = " ".join(w)
+    y = " ".join(w[:40] + ["other"] + w[40:60] + ["again"] + w[60:80] + ["third"] + w[80:])  # similarity 0.76 less some: not linked
+    y = y.replace(w[20], "fourth").replace(w[95], "fifth")
+    rows = [(1, x), (2, y)]
+    of = lambda r: {(k.doc_id, k.component_id) for k in neardup.link(spark.createDataFrame(r, "doc_id long, text string")).collect()}
+    assert of(rows) == of([*rows, (1, ""), (2, ""), (1, None), (2, "  ")]) == {(1, 1), (2, 2)}
+    # Two texts of one id meet two of another: any link counts.
+    assert of([(1, x), (1, y), (2, "some words that stand nowhere else here"), (2, x + " end")]) == {(1, 1), (2, 1)}
+
+
+def test_families_that_stay_open(spark, monkeypatch):
+    """Sets around 0.75: many share bands without being linked, so that pivots do not settle their buckets."""
+    rng = random.Random(4)
+    base = [rng.choice(WORDS) + str(k) for k in range(150)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(2, 6)):
+            w[k] = f"q{i}" if i % 3 else "q"
+        rows.append((i, " ".join(w)))
+    _, of = components([(i, t) for i, t in rows], lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    monkeypatch.setattr(neardup, "CHUNK", 20_000)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.link(df).collect()}
+    assert got == of and 5 < len(set(of.values())) < 140
+    # A column of maps cannot be compared, and passes.
+    maps = neardup.deduplicated(df.withColumn("m", F.create_map(F.lit("a"), "doc_id")))
+    assert {r.doc_id: r.m for r in maps.collect()} == {i: {"a": i} for i in of if of[i] == i}
+
+
 def test_register_estimate():
     rng = np.random.default_rng(5)
     a = np.unique(rng.integers(0, 2**63, 800).astype(np.uint64))
