@@ -3,11 +3,15 @@
 Three formats (assign, access, hex) are matched by pattern. Other candidate
 strings are judged by the Shannon entropy of a sliding window, per character
 class: the window's sum of c*log2(c) changes by two table look-ups a step, as
-one character enters and one leaves. Strings on an allow list are left out.
+one character enters and one leaves. The part of a candidate where windows reach
+the entropy is a span, unless it has no digit. The allow list is held against
+the first window of greatest entropy: a harmless word elsewhere in a long
+candidate, as in a path before a key, hides nothing.
 
 Spans are code points, end exclusive. Defined results: a null or empty text has
 no spans; repeated rows are scanned one by one; an empty table gives an empty
-table. An array holds the spans of one document alone.
+table. An array holds the spans of one document alone. Very long candidates take
+time in proportion to their length, and n matches n times the root of n.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ CLASSES = (
     ("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 )
 WINDOW = 20
-#: Harmless strings: identifiers, placeholders, runs of the alphabet.
-ALLOWED = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|dummy|placeholder|xxxx|0000000|abcdefg|1234567"
+#: Harmless candidates (identifiers), and harmless windows: placeholders, runs of the alphabet.
+IDENTIFIER = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ALLOWED = r"(?i)example|sample|dummy|placeholder|xxxx|0000000|abcdefg|1234567"
 #: c*log2(c) in millionths, so that sums are exact.
 LOGS = tuple(round(c * math.log2(c) * 1e6) if c else 0 for c in range(WINDOW + 1))
 
@@ -41,86 +46,128 @@ def _class_pattern(chars: str) -> str:
     return "[" + chars.replace("-", "") + ("-" if "-" in chars else "") + "]{%d,}" % WINDOW
 
 
+def let(value: Column, use) -> Column:
+    """use(value), where value is computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(items: Column, kind: str, move, say) -> Column:
+    """array<kind> of say(state, x) for each x in order; the state is a number that begins at 0 and becomes move(state, x).
+
+    Results gather in blocks, since appending to an array copies it.
+    """
+
+    def fold(part: Column, state: Column) -> Column:
+        zero = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(part, zero, lambda s, x: F.struct(move(s["state"], x).cast("int").alias("state"), F.concat(s["out"], F.array(say(s["state"], x).cast(kind))).alias("out")))
+
+    def blocks(z: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(z))).cast("int"), F.lit(16))
+        return let(width, lambda w: F.flatten(F.aggregate(
+            F.sequence(F.lit(0), F.greatest(F.ceil(F.size(z) / w).cast("int") - 1, F.lit(0))),
+            F.struct(F.lit(0).alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+            lambda s, b: let(fold(F.slice(z, b * w + 1, w), s["state"]), lambda r: F.struct(r["state"].alias("state"), F.concat(s["out"], F.array(r["out"])).alias("out"))),
+            lambda s: s["out"],
+        )))
+
+    return let(items, blocks)
+
+
+_SPAN = "struct<start:int,end:int,match:string>"
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start,end,match>> of the leftmost non-overlapping matches: gaps and matches alternate, so their lengths add up to positions."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-    def step(s, x):
-        begin = s["at"] + F.length(x["gap"])
-        end = begin + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["match"].alias("match")))).alias("out"))
-
-    return F.aggregate(both, start, step, lambda s: s["out"])
+    both = let(found, lambda f: F.arrays_zip(F.slice(gaps, 1, F.size(f)).alias("gap"), f.alias("match")))
+    after = lambda at, x: at + F.length(x["gap"]) + F.length(x["match"])
+    return running(both, _SPAN, after, lambda at, x: F.struct((at + F.length(x["gap"])).alias("start"), after(at, x).alias("end"), x["match"].alias("match")))
 
 
 def _none() -> Column:
-    return F.array().cast("array<struct<start:int,end:int,match:string>>")
+    return F.array().cast(f"array<{_SPAN}>")
 
 
-def hot_part(match: Column, chars: str, bits: float) -> Column:
-    """struct(first, last): the code points, from 0, of match where its windows reach the entropy; first null if none does."""
+def hot_part(index: Column, size: int, bits: float) -> Column:
+    """struct(first, last, best): the places, from 0, where windows of index reach the entropy, and the start of the first one of greatest entropy; first is null if none reaches it. index: places of its characters in a class of so many characters, a column or a lambda's variable."""
     limit, logs = most(bits), F.array(*map(F.lit, LOGS))
-    letters = F.filter(F.split(match, ""), lambda c: c != "")
-    index = F.transform(letters, lambda c: F.instr(F.lit(chars), c) - 1)
     moves = F.transform(index, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.coalesce(F.get(index, i - WINDOW), F.lit(-1)).alias("out")))
-    state = F.struct(F.array_repeat(F.lit(0), len(chars)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    state = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(limit + 1).cast("long").alias("least"), F.lit(None).cast("int").alias("best"))
+    put = lambda counts, k, v: F.concat(F.slice(counts, 1, k), F.array(v), F.slice(counts, k + 2, size))
 
     def step(s, m):
         # The one that leaves goes first; then the one that enters.
         gone = F.when(m["out"] >= 0, F.get(s["counts"], m["out"])).otherwise(F.lit(0))
-        after = F.when(m["out"] >= 0, F.transform(s["counts"], lambda v, k: F.when(k == m["out"], v - 1).otherwise(v))).otherwise(s["counts"])
+        after = F.when(m["out"] >= 0, put(s["counts"], m["out"], gone - 1)).otherwise(s["counts"])
         less = F.when(gone > 0, F.get(logs, gone - 1) - F.get(logs, gone)).otherwise(F.lit(0))
-        here = F.get(after, m["x"])
-        total = (s["sum"] + less + F.get(logs, here + 1) - F.get(logs, here)).cast("long")
+        return let(F.struct(after.alias("counts"), (s["sum"] + less).cast("long").alias("sum")), lambda t: enter(s, m, t, F.get(t["counts"], m["x"])))
+
+    def enter(s, m, t, here):
+        total = (t["sum"] + F.get(logs, here + 1) - F.get(logs, here)).cast("long")
         hot = (m["i"] >= WINDOW - 1) & (total <= limit)
         return F.struct(
-            F.transform(after, lambda v, k: F.when(k == m["x"], v + 1).otherwise(v)).alias("counts"),
+            put(t["counts"], m["x"], here + 1).alias("counts"),
             total.alias("sum"),
             F.when(hot & s["first"].isNull(), m["i"] - (WINDOW - 1)).otherwise(s["first"]).cast("int").alias("first"),
             F.when(hot, m["i"] + 1).otherwise(s["last"]).cast("int").alias("last"),
+            F.when(hot, F.least(s["least"], total)).otherwise(s["least"]).alias("least"),
+            F.when(hot & (total < s["least"]), m["i"] - (WINDOW - 1)).otherwise(s["best"]).cast("int").alias("best"),
         )
 
-    return F.aggregate(moves, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(moves, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["best"].alias("best")))
 
 
 def _named(spans: Column, rank: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(KINDS[rank]).alias("kind"), x["end"].alias("end")))
 
 
-def _hot(found: Column, kind: str, chars: str, bits: float) -> Column:
-    """The part of each candidate whose windows reach the entropy; start is null where none does."""
+def _judged(found: Column, kind: str, chars: str, bits: float) -> Column:
+    """The part of each candidate whose windows reach the entropy, with its text as match, unless the allow list has it."""
+    letters = lambda m: F.filter(F.split(m, ""), lambda c: c != "")
 
-    def wanted(x):
-        digits = x["match"].rlike("[0-9]") & ~x["match"].rlike(ALLOWED)
+    def candidate(x):
+        any_secret = x["match"].rlike("[0-9]") & ~x["match"].rlike(IDENTIFIER)
         # Hexadecimal strings have a class of their own.
-        return digits & x["match"].rlike("[g-zG-Z]") if kind == "entropy_base64" else digits
+        return any_secret & x["match"].rlike("[g-zG-Z]") if kind == "entropy_base64" else any_secret
+
+    places = F.transform(F.filter(found, candidate), lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), F.transform(letters(x["match"]), lambda c: F.instr(F.lit(chars), c) - 1).alias("index")))
+    parts = F.transform(places, lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), hot_part(x["index"], len(chars), bits).alias("hot")))
+    hot = F.transform(F.filter(parts, lambda x: x["hot"]["first"].isNotNull()), lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), (x["start"] + x["hot"]["last"]).alias("end"), F.substr(x["match"], x["hot"]["first"] + 1, x["hot"]["last"] - x["hot"]["first"]).alias("match"), F.substr(x["match"], x["hot"]["best"] + 1, F.lit(WINDOW)).alias("best")))
+
+    def wanted(x):
+        secret = x["match"].rlike("[0-9]") & ~x["best"].rlike(ALLOWED)
+        return secret & x["match"].rlike("[g-zG-Z]") if kind == "entropy_base64" else secret
+
+    return F.filter(hot, wanted)
+
 
-    parts = F.transform(F.filter(found, wanted), lambda x: F.struct(x["start"].alias("start"), hot_part(x["match"], chars, bits).alias("hot")))
-    return F.transform(parts, lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), (x["start"] + x["hot"]["last"]).alias("end")))
+def _outside(base: Column, extra: Column, fields: str) -> Column:
+    """The structs of extra that lie inside none of base: in order of their starts, none of base so far reaches their end."""
+    tagged = lambda spans, new: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(new).alias("new"), x["end"].alias("end"), (x if new else F.lit(None)).cast(f"struct<{fields}>").alias("span")))
+    order = F.array_sort(F.concat(tagged(base, 0), tagged(extra, 1)))
+    said = running(order, f"struct<{fields}>", lambda far, x: F.when(x["new"] == 0, F.greatest(far, x["end"])).otherwise(far), lambda far, x: F.when((x["new"] == 1) & (far < x["end"]), x["span"]))
+    return F.filter(said, lambda x: x.isNotNull())
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with spans: array<struct<start,rank,kind,end>> in order; rank is the kind's place in KINDS. Columns of docs with these names, or of working names that begin with _, give way."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     df = docs.withColumn("_t", t)
     df = df.withColumn("_assign", F.when(F.col("_t").rlike("[:=]"), located(F.col("_t"), ASSIGN)).otherwise(_none()))
     df = df.withColumn("_access", F.when(F.col("_t").contains("AKIA"), located(F.col("_t"), ACCESS)).otherwise(_none()))
     df = df.withColumn("_hex", F.when(F.col("_t").rlike(HEX), located(F.col("_t"), HEX)).otherwise(_none()))
     df = df.withColumn("_assign", F.filter("_assign", lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 1)) >= 6))
-    base = F.concat(*[_named(F.col(c), i) for i, c in enumerate(("_assign", "_access", "_hex"))])
-    df = df.withColumn("_base", base)
-    more = []
+    df = df.withColumn("base_spans", F.array_sort(F.concat(*[_named(F.col(c), i) for i, c in enumerate(("_assign", "_access", "_hex"))])))
     for i, (kind, chars, bits) in enumerate(CLASSES, start=3):
         c, pattern = f"_{kind}", _class_pattern(chars)
         df = df.withColumn(c, F.when(F.col("_t").rlike(pattern), located(F.col("_t"), pattern)).otherwise(_none()))
-        df = df.withColumn(c, _hot(F.col(c), kind, chars, bits))
-        # A span inside one already found says nothing new.
-        df = df.withColumn(c, F.filter(_named(F.filter(c, lambda x: x["start"].isNotNull()), i), lambda x: ~F.exists("_base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"]))))
-        more.append(F.col(c))
-    df = df.withColumn("base_spans", F.array_sort("_base")).withColumn("spans", F.array_sort(F.concat("_base", *more)))
-    return df.drop("_t", "_assign", "_access", "_hex", "_base", *[f"_{k}" for k, _, _ in CLASSES])
+        # What is inside a span already found says nothing new, and need not be judged.
+        df = df.withColumn(c, F.when((F.size(c) > 0) & (F.size("base_spans") > 0), _outside(F.col("base_spans"), F.col(c), "start:int,end:int,match:string")).otherwise(F.col(c)))
+        df = df.withColumn(c, _named(_judged(F.col(c), kind, chars, bits), i))
+    extra = F.concat(*[F.col(f"_{k}") for k, _, _ in CLASSES])
+    df = df.withColumn("_extra", F.when(F.size(extra) > 0, _outside(F.col("base_spans"), extra, "start:int,rank:int,kind:string,end:int")).otherwise(_named(_none(), 0)))
+    df = df.withColumn("spans", F.array_sort(F.concat("base_spans", "_extra")))
+    return df.drop("_t", "_assign", "_access", "_hex", "_extra", *[f"_{k}" for k, _, _ in CLASSES])
 
 
 def joined(spans: Column) -> Column:

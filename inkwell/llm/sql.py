@@ -70,13 +70,13 @@ m AS ({" UNION ALL ".join(union)}),
 p AS (SELECT *, sum(length(gap) + coalesce(length(match), 0)) OVER (PARTITION BY rid, rank ORDER BY i)::BIGINT AS stop FROM m),
 s AS (SELECT rid, rank, kind, match, stop - length(match) AS start, stop FROM p WHERE match IS NOT NULL),
 base AS (SELECT rid, rank, kind, start, stop FROM s WHERE rank > 0 AND rank < 3 OR rank = 0 AND length(regexp_extract(match, '{q(secrets.ASSIGN)}', 1)) >= 6),
-cand AS (SELECT row_number() OVER () AS cid, *, CASE kind {chars} END AS chars FROM s WHERE rank >= 3 AND regexp_matches(match, '[0-9]') AND NOT regexp_matches(match, '{q(secrets.ALLOWED)}') AND (rank = 3 OR regexp_matches(match, '[g-zG-Z]'))),
+cand AS (SELECT row_number() OVER () AS cid, *, CASE kind {chars} END AS chars FROM s WHERE rank >= 3 AND regexp_matches(match, '[0-9]') AND NOT regexp_matches(match, '{q(secrets.IDENTIFIER)}')),
 win AS (SELECT cid, i, unnest(string_split(substr(match, i + 1, {secrets.WINDOW}), '')) AS ch FROM cand, LATERAL (SELECT unnest(range(0, length(match) - {secrets.WINDOW - 1})) AS i)),
 cnt AS (SELECT cid, i, ch, count(*) AS c FROM win GROUP BY ALL),
 ent AS (SELECT cid, i, sum({logs}[c + 1]) AS total FROM cnt GROUP BY ALL),
-hot AS (SELECT cid, min(i) AS a, max(i) + {secrets.WINDOW} AS b FROM ent JOIN cand USING (cid) WHERE total <= CASE kind {limits} END GROUP BY cid),
-extra AS (SELECT rid, rank, kind, start + a AS start, start + b AS stop FROM hot JOIN cand USING (cid)),
-more AS (SELECT * FROM extra e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start <= e.start AND b.stop >= e.stop)),
+hot AS (SELECT cid, min(i) AS a, max(i) + {secrets.WINDOW} AS b, arg_min(i, total * 4294967296 + i) AS w FROM ent JOIN cand USING (cid) WHERE total <= CASE kind {limits} END GROUP BY cid),
+extra AS (SELECT rid, rank, kind, start + a AS start, start + b AS stop, substr(match, a + 1, b - a) AS part, substr(match, w + 1, {secrets.WINDOW}) AS best FROM hot JOIN cand USING (cid)),
+more AS (SELECT rid, rank, kind, start, stop FROM extra e WHERE regexp_matches(part, '[0-9]') AND NOT regexp_matches(best, '{q(secrets.ALLOWED)}') AND (rank = 3 OR regexp_matches(part, '[g-zG-Z]')) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start <= e.start AND b.stop >= e.stop)),
 a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS b FROM base GROUP BY rid),
 z AS (SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY rid)

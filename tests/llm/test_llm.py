@@ -161,6 +161,60 @@ def test_secret_entropy(spark):
     assert got == [["entropy_base64"], [], [], [], ["assign"]]
 
 
+def entropy_spans(text, base):
+    """By brute force: every window's entropy counted anew."""
+    out = []
+    for rank, (kind, chars, bits) in enumerate(secrets.CLASSES, start=3):
+        for m in re.finditer(f"[{re.escape(chars)}]{{20,}}", text):
+            entropy = [round(float(-sum(c / 20 * np.log2(c / 20) for c in np.unique(list(m[0][k : k + 20]), return_counts=True)[1])), 5) for k in range(len(m[0]) - 19)]
+            hot = [k for k, e in enumerate(entropy) if e >= bits - 1e-6]
+            if hot and not re.search(secrets.IDENTIFIER, m[0]):
+                best = m[0][entropy.index(max(entropy)) :][:20]
+                a, b = m.start() + hot[0], m.start() + hot[-1] + 20
+                part = text[a:b]
+                if re.search("[0-9]", part) and not re.search(secrets.ALLOWED, best) and (rank == 3 or re.search("[g-zG-Z]", part)) and not any(x <= a and b <= y for x, _, _, y in base):
+                    out.append((a, rank, kind, b))
+    return out
+
+
+def test_secret_entropy_against_every_window(spark):
+    """Planted keys: found but where the allow list or a base span has them; prose is left alone."""
+    rng = random.Random(12)
+    alphabet = secrets.CLASSES[1][1]
+    key = lambda n, of=alphabet: "".join(rng.choice(of) for _ in range(n))
+    texts, planted = [], []
+    for i in range(120):
+        prose = [rng.choice(WORDS) * rng.randint(1, 4) for _ in range(20)]
+        kind = i % 6
+        if kind < 5:
+            k = {0: key(40) + "7", 1: key(32, "0123456789ABCDEF"), 2: "sample_app/config/" + key(36) + "3", 3: key(16) + "aaaaaaaaaaaaaaaaaaaaaaaaaaaa" + key(24) + "1", 4: "token=" + key(30)}[kind]
+            prose[rng.randrange(20)] = k
+        texts.append(" ".join(prose))
+        planted.append(kind)
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    found = []
+    for r, t in zip(rows, texts, strict=True):
+        base = [tuple(x) for x in r.base_spans]
+        assert [tuple(x) for x in r.spans] == sorted(base + entropy_spans(t, base))
+        found.append(any(x.rank >= 3 for x in r.spans))
+    recall = np.mean([f for f, k in zip(found, planted, strict=True) if k < 4])
+    assert recall > 0.9 and not any(f for f, k in zip(found, planted, strict=True) if k == 5)
+
+
+def test_secrets_in_very_long_texts(spark):
+    import time
+
+    rng = random.Random(3)
+    image = "".join(rng.choices(secrets.CLASSES[1][1], k=200_000))
+    many = " ".join("%032x" % rng.getrandbits(128) for _ in range(50_000))
+    began = time.time()
+    rows = secrets.scan(spark.createDataFrame([(0, image), (1, many), (2, "é" + many)], "doc_id int, text string")).orderBy("doc_id").collect()
+    assert time.time() - began < 150
+    assert [(x.kind, x.start, x.end) for x in rows[0].spans if x.end - x.start > 1000] and all(x.end <= 200_000 for x in rows[0].spans)
+    assert [(x.start, x.end) for x in rows[1].spans] == [(33 * k, 33 * k + 32) for k in range(50_000)]
+    assert [(x.start, x.end) for x in rows[2].base_spans] == [(33 * k + 1, 33 * k + 33) for k in range(50_000)]
+
+
 def components(corpus, linked):
     sets, of = {}, {}
     for i, t, *_ in corpus:
