@@ -335,6 +335,38 @@ def test_weak_labels_find_more(spark):
     assert more and all(i < 40 for i in more)
 
 
+def test_planted_personal_data_and_decoys(spark):
+    """Recall and precision of the spans that the method adds, over planted ones of each kind and look-alikes, in four languages."""
+    rng = random.Random(21)
+    prose = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randint(8, 14)))
+    n = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+    right = {
+        "local_phone": lambda c: (c(["call my phone {}", "Telefon {}", "teléfono {}", "téléphone {}", "reach me, {},"]), f"{n(3)}-{n(3)}-{n(4)}"),
+        "spelled_email": lambda c: (c(["write to {}", "contact {}", "courriel {}"]), f"{rng.choice(WORDS)}.{rng.choice(WORDS)} [at] {rng.choice(WORDS)}{n(2)} [dot] {c(['com', 'org', 'de', 'es'])}"),
+        "identity": lambda c: (c(["my ssn {}", "social security {}", "identity {}"]), f"{c(['123', '219', '457'])}-{n(2)}-{n(4)}"),
+        "credential": lambda c: (c(['password = "{}"', "token: {}", "api_key={}"]), f"{rng.choice(WORDS)}{n(4)}{rng.choice(WORDS)}{n(3)}"),
+    }
+    wrong = [lambda: (f"page {n(3)}-{n(3)}-{n(4)}", ), lambda: (f"version {n(2)}.{n(2)}.{n(4)}",), lambda: ("look at the house.of dot music",), lambda: (f"invoice {n(4)} {n(4)} {n(3)}",), lambda: ("password = changeme",), lambda: (f"Seite {n(3)}.{n(3)}.{n(3)}",), lambda: ("2024-05-17 to 2025-06-18",)]
+    rows, planted = [], {}
+    for i in range(400):
+        t = prose()
+        if i % 2:
+            kind = list(right)[i // 2 % 4]
+            where, value = right[kind](rng.choice)
+            head, tail = where.split("{}")
+            planted[i] = (kind, len(t) + 1 + len(head), len(t) + 1 + len(head) + len(value))
+            t += " " + head + value + tail
+        elif i % 4:
+            t += " " + wrong[i // 4 % len(wrong)]()[0]
+        else:
+            t += f" a{i}@x.org and 10.0.{i % 250}.1 +1 606 555 {1000 + i}"
+        rows.append((i, t + " " + prose()))
+    got = {r.doc_id: {(pii.KINDS[x.kind], x.start, x.end) for x in r.spans if x.kind >= len(pii.BASE)} for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hits = sum(planted.get(i) in s for i, s in got.items())
+    said = sum(len(s) for s in got.values())
+    assert hits / len(planted) > 0.9 and hits / said > 0.9, (hits, len(planted), said, [(rows[i][1], s) for i, s in got.items() if s and planted.get(i) not in s][:9], [(planted[i], rows[i][1]) for i in planted if planted[i] not in got[i]][:9])
+
+
 def test_reliabilities_are_recovered():
     rng = np.random.default_rng(2)
     truth = rng.random(4000) < 0.4
