@@ -1,8 +1,14 @@
 """Line-first quality rules (native).
 
-Every line is judged by a punctuation, a navigation and a boilerplate rule;
-failing lines are removed, then documents that lost too much text, or whose
-text is too short or repetitive, are rejected.
+Every line is judged by punctuation, navigation and boilerplate rules; failing
+lines are removed, then documents that lost too much text, or whose text is too
+short or repetitive, are rejected. A line fails
+
+- if too many of its characters are symbols, or punctuation of any kind;
+- if it is long and no sentence ends in it;
+- if it holds words of navigation alone;
+- if it is short and holds a phrase of boilerplate. A paragraph that only
+  mentions such a phrase stays.
 
 Defined results: a null or empty text has no words and is rejected; repeated
 rows are judged one by one; further columns pass through untouched; an empty
@@ -17,10 +23,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import SPACE, words
 
-#: Phrases of boilerplate lines, lower case.
-BOILERPLATE = "cookie policy|privacy policy|terms of use|terms of service|all rights reserved|enable javascript|lorem ipsum|click here|subscribe to our"
-#: Words that alone make up a navigation line, lower case.
-NAVIGATION = "home|menu|login|log in|sign in|sign up|register|search|next|previous|back|contact|about|sitemap|share|print|top"
+#: Phrases of boilerplate lines in English, German, French and Spanish, lower case.
+BOILERPLATE = "|".join(
+    """cookie policy|privacy policy|terms of use|terms of service|terms and conditions|all rights reserved|enable javascript|lorem ipsum|click here|read more|subscribe to our|sign up for|powered by|accept cookies|uses cookies
+alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|hier klicken|klicken sie hier|weiterlesen|newsletter abonnieren|javascript aktivieren|verwendet cookies
+tous droits réservés|politique de confidentialité|conditions d.utilisation|mentions légales|cliquez ici|lire la suite|abonnez-vous|activer javascript|utilise des cookies
+todos los derechos reservados|política de privacidad|términos de uso|aviso legal|haga clic aquí|haz clic aquí|leer más|suscríbete|activar javascript|utiliza cookies""".splitlines()
+)
+#: Words that alone make up a navigation line, in the same languages, lower case.
+NAVIGATION = "|".join(
+    """home|menu|login|log in|logout|sign in|sign up|register|search|next|previous|back|contact|about|sitemap|share|print|top|help|faq|blog|news
+startseite|menü|anmelden|abmelden|registrieren|suche|weiter|zurück|kontakt|über uns|impressum|drucken|teilen|hilfe
+accueil|connexion|déconnexion|inscription|rechercher|suivant|précédent|retour|à propos|plan du site|partager|imprimer|aide
+inicio|menú|acceder|registrarse|buscar|siguiente|anterior|volver|contacto|acerca de|mapa del sitio|compartir|imprimir|ayuda""".splitlines()
+)
 
 
 @dataclass(frozen=True)
@@ -30,21 +46,31 @@ class Rules:
     window: int = 8
     #: A line fails when symbols exceed this percentage of its characters.
     symbol_percent: int = 15
+    #: Nor may punctuation of any kind exceed this one.
+    punctuation_percent: int = 40
+    #: Lines of so many characters need the end of a sentence.
+    long_line: int = 400
+    #: Phrases of boilerplate count in lines of at most so many characters.
+    short_line: int = 200
     #: A document goes when less than this percentage of its word characters is left.
     least_left_percent: int = 50
 
 
 RULES = Rules()
 SYMBOLS = "[#*$%&|<>]"
+PUNCTUATION = r"[!-/:-@\[-`{-~]"
+NAVIGATION_LINE = rf"^[\x20\x09-\x0D]*(?:(?:{NAVIGATION})[\x20\x09-\x0D]*(?:[|>/]+[\x20\x09-\x0D]*|\z))+\z"
 
 
 def line_fails(line: Column, rules: Rules = RULES) -> Column:
     """Whether a line with words breaks a rule; lines without words never fail."""
     n = F.length(line)
-    symbols = n - F.length(F.regexp_replace(line, SYMBOLS, ""))
-    punctuation = symbols * 100 > n * rules.symbol_percent
-    navigation = line.rlike(f"(?i)^[\\x20\\x09-\\x0D]*(?:(?:{NAVIGATION})[\\x20\\x09-\\x0D]*(?:[|>/]+[\\x20\\x09-\\x0D]*|\\z))+\\z")
-    return punctuation | navigation | F.lower(line).rlike(BOILERPLATE)
+    without = lambda pattern: F.length(F.regexp_replace(line, pattern, ""))
+    symbols = (n - without(SYMBOLS)) * 100 > n * rules.symbol_percent
+    punctuation = (n - without(PUNCTUATION)) * 100 > n * rules.punctuation_percent
+    endless = (n >= rules.long_line) & ~line.rlike("[.!?]")
+    phrases = (n <= rules.short_line) & (F.lower(line).rlike(NAVIGATION_LINE) | F.lower(line).rlike(BOILERPLATE))
+    return symbols | punctuation | endless | phrases
 
 
 def with_lines(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:

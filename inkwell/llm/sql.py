@@ -20,8 +20,9 @@ m AS (
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
     list_sum(list_transform(list_filter(lines, lambda x: NOT (
         (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 100 > length(x) * {quality.RULES.symbol_percent}
-        OR regexp_matches(x, '(?i)^[\x20\x09-\x0D]*(?:(?:{quality.NAVIGATION})[\x20\x09-\x0D]*(?:[|>/]+[\x20\x09-\x0D]*|\z))+\z')
-        OR regexp_matches(lower(x), '{quality.BOILERPLATE}'))), lambda x: length(regexp_replace(x, '{_WS}', '', 'g')))) AS left_chars
+        OR (length(x) - length(regexp_replace(x, '{quality.PUNCTUATION}', '', 'g'))) * 100 > length(x) * {quality.RULES.punctuation_percent}
+        OR length(x) >= {quality.RULES.long_line} AND NOT regexp_matches(x, '[.!?]')
+        OR length(x) <= {quality.RULES.short_line} AND (regexp_matches(lower(x), '{quality.NAVIGATION_LINE}') OR regexp_matches(lower(x), '{quality.BOILERPLATE}')))), lambda x: length(regexp_replace(x, '{_WS}', '', 'g')))) AS left_chars
   FROM w LEFT JOIN rep USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

@@ -424,6 +424,14 @@ def test_quality_lines(spark):
     assert got[0].n_chars == len(got[0].text)
 
 
+def test_quality_line_rules(spark):
+    paragraph = "This paragraph only mentions that one may click here, and goes on about other things for so long that the phrase is a small part of it. " * 2
+    bad = ["!!! ??? ...", "=====", "......", "Startseite | Suche | Impressum", "ACCUEIL > Rechercher", "Inicio / Buscar / Contacto", "Alle Rechte vorbehalten.", "Tous droits réservés", "Todos los derechos reservados.", "CLICK HERE", "word " * 90, "a#b#c#"]
+    good = [paragraph, "", "   ", "Home is where the menu is.", "Ende.", "word " * 90 + ".", "It costs 5 (five), or 6.", "e" * 300]
+    rows = spark.createDataFrame(list(enumerate(bad + good)), "i int, line string").select("i", quality.line_fails(F.col("line")).alias("fails")).orderBy("i").collect()
+    assert [r.fails for r in rows] == [True] * len(bad) + [False] * len(good)
+
+
 def test_suffix_dedup(docs, corpus, empty):
     count, length = {}, 400
     for _, t, *_ in corpus:
