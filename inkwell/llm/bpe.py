@@ -4,8 +4,13 @@ Texts are split at white space in Spark tasks. Each piece of the input (a few
 MB of documents) asks once for each of its distinct words; the requests meet in
 a table dealt by word hash, where each distinct word is encoded once, by the
 tokenizer library itself. The ids go back to the piece, in the order in which
-it asked, and are joined to the documents by word position. Ids become text
-through the id-to-piece table, which has as many entries as the vocabulary.
+it asked, and are joined to the documents by word position.
+
+Ids become text by a join with the id-to-piece table, by position: ids of a batch
+are laid end to end, each is looked up in the table, and the pieces are put
+together again where documents begin and end. The table has as many entries as
+the vocabulary, whatever the input, so each task holds it whole; decode() does
+this for any column of ids, and encode() for the ids that it has made.
 
 White space never joins tokens of this kind of tokenizer (its pre-tokenizer
 drops it), so encoding word by word gives the ids of the whole text.
@@ -56,7 +61,8 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.pieces = {i: p.encode() for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        pieces = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.pieces = pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.string())
 
     @classmethod
     def at(cls, path: str) -> Codec:
@@ -72,9 +78,20 @@ class Codec:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        """Pieces joined as the library joins them where a tokenizer names no decoder."""
-        return b" ".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+    def decode(self, ids: pa.BinaryArray) -> pa.StringArray:
+        """Texts of ids (little-endian unsigned 32-bit), pieces joined as the library joins them where a tokenizer names no decoder. Null gives null; ids that the vocabulary lacks are left out, as the library does."""
+        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        flat = np.frombuffer(ids.buffers()[2] or b"", "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0])
+        bounds = (offsets - offsets[0]) // 4
+        if len(flat):
+            here = flat < len(self.pieces)
+            here[here] = np.array(self.pieces.is_valid())[flat[here]]
+            if not here.all():
+                bounds = np.concatenate([[0], np.cumsum(here)])[bounds]
+                flat = flat[here]
+        pieces = self.pieces.take(pa.array(flat))
+        out = pa.compute.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pieces), " ")
+        return pa.compute.if_else(ids.is_valid(), out, pa.scalar(None, pa.string())) if ids.null_count else out
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -194,12 +211,11 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
                     ids_of.update(zip(words, [body[a:b] for a, b in zip(starts, ends.tolist(), strict=True)], strict=True))
                 else:
                     ids_of.update(zip(words, codec.encode(words), strict=True))
-            pieces = {w: codec.decode(x) for w, x in ids_of.items()}
             del texts
             for batch in held:  # one batch's results as Python objects at a time
                 texts = _texts([batch], "t")
                 ids = pa.array([b"".join(map(ids_of.__getitem__, t.split())) for t in texts], pa.binary())
-                decoded = pa.array([b" ".join(filter(None, map(pieces.__getitem__, t.split()))) for t in texts], pa.binary()).cast(pa.string())
+                decoded = codec.decode(ids)
                 counts = pa.compute.divide(pa.compute.binary_length(ids), 4).cast(pa.int64())
                 kept = pa.Table.from_batches([batch]).drop_columns(["t"])
                 tables.append(kept.append_column("n_tokens", counts).append_column("ids", ids).append_column("decoded", decoded))
@@ -217,6 +233,22 @@ def encode(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "n_tokens", "ids", "decoded")
 
 
+def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str | None = None) -> DataFrame:
+    """df with the texts of its ids (binary: little-endian unsigned 32-bit) as column to; one of that name gives way. Null gives null, no ids give an empty text; rows stay where they lie."""
+    small_batches(df.sparkSession)
+    path = path or public_path()
+    rows = df.drop(to).withColumn(to, F.col(f"`{ids}`"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(to, T.StringType())])
+
+    def run(batches):
+        codec = Codec.at(path)
+        for batch in batches:
+            *kept, last = batch.columns
+            yield pa.RecordBatch.from_arrays([*kept, codec.decode(last)], batch.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return encode(docs).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -307,6 +307,20 @@ def test_encoding_matches_the_library(docs, corpus, empty):
     assert bpe.encode(empty).count() == 0
 
 
+def test_decoding_any_ids(spark, docs, corpus):
+    """Ids that no text gives, null, none, and ids beyond the vocabulary; and the round trip of all documents."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.public_path())
+    rng, size = random.Random(9), library.get_vocab_size()
+    lists = [[rng.randrange(size) for _ in range(rng.randint(1, 60))] for _ in range(50)] + [[], [0], [size - 1], [size + 5, 7, 2**32 - 1], [5] * 20_000]
+    rows = [(i, np.array(x, "<u4").tobytes(), "old") for i, x in enumerate(lists)] + [(99, None, "old")]
+    got = {r.n: r.decoded for r in bpe.decode(spark.createDataFrame(rows, "n int, ids binary, decoded string")).collect()}
+    assert got == {i: library.decode(x, skip_special_tokens=False) for i, x in enumerate(lists)} | {99: None}
+    for r in bpe.decode(bpe.encode(docs), to="again").collect():
+        assert r.again == r.decoded
+
+
 def test_encoding_of_odd_words(spark):
     from tokenizers import Tokenizer
 
