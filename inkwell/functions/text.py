@@ -51,10 +51,9 @@ def _composed(s: pd.Series) -> pd.Series:
 
 
 def normalized(df: DataFrame, text: str = "text", to: str = "normal") -> DataFrame:
-    """df with the normalised text. Only rows that composing can change pass through Python."""
-    rare = F.coalesce(F.col(text).rlike(COMPOSES), F.lit(False))
-    plain = df.filter(~rare).withColumn(to, normalize(F.col(text)))
-    return plain.union(df.filter(rare).withColumn(to, normalize(_composed(text))))
+    """df with the normalised text. Texts that composing can change go through Python; of the others a null goes, so that the input is read once."""
+    rare = _composed(F.when(F.col(text).rlike(COMPOSES), F.col(text)))
+    return df.withColumn(to, normalize(F.coalesce(rare, F.col(text))))
 
 
 def detect_language(c: Column) -> Column:

@@ -39,16 +39,24 @@ def _opens(s: Column) -> Column:
     return _any(F.substring(s, 1, 20), OPENERS) | s.rlike("^(?:" + "|".join(OPENERS) + ")")
 
 
-def fits_blank(s: Column, keyword: Column) -> Column:
-    """Whether a sentence can carry a cloze for the keyword."""
+def can_be_blank(s: Column) -> Column:
+    """Whether a sentence can carry a cloze for some keyword."""
     ends = F.rtrim(s)
     return (
-        s.contains(keyword) & (F.length(s) >= LEAST_BLANK) & (F.length(keyword) * 2 <= F.length(s))
-        & ~_any(s, ANSWER_KEYS) & ~_any(s, CODE_BLANK) & (F.size(F.split(s, " - ")) < 4)
+        (F.length(s) >= LEAST_BLANK) & ~_any(s, ANSWER_KEYS) & ~_any(s, CODE_BLANK) & (F.size(F.split(s, " - ")) < 4)
         & ~ends.rlike("(?U)\\s+\\d+\\.?\\s*\\z") & ~ends.rlike("(?U)\\d+[-\\.]\\d+\\.?\\s*\\z") & ~_opens(s)
     )
 
 
+def fits_keyword(s: Column, keyword: Column) -> Column:
+    return s.contains(keyword) & (F.length(keyword) * 2 <= F.length(s))
+
+
+def fits_blank(s: Column, keyword: Column) -> Column:
+    """Whether a sentence can carry a cloze for the keyword."""
+    return fits_keyword(s, keyword) & can_be_blank(s)
+
+
 def _after_space(s: Column, start: Column, key: Column) -> Column:
     """start, moved behind the next space if that stands well before key; all from 0."""
     space = _find(s, " ", start)
@@ -159,13 +167,17 @@ def _assigned(docs: DataFrame, doc: str, candidates: Column, count: int) -> Data
 def blank_quizzes(docs: DataFrame, doc: str = "doc_id", sentences: str = "sentences", keywords: str = "keywords", count: int = COUNT, seed: int = 0) -> DataFrame:
     """(doc, quiz_type, keyword, question, answer, context, place): keywords in order, each with its first fitting sentence not yet used, shorter than 150 if it can."""
 
+    # Sentences are judged once; keywords then look through those that are left.
+    rated = F.transform(sentences, lambda s, i: F.when(can_be_blank(s), F.struct((F.length(s) > 150).alias("long"), i.alias("i"), s.alias("s"))))
+    rated = docs.select(doc, sentences, keywords).withColumn("_open", pinned(F.array_sort(F.filter(rated, lambda x: x.isNotNull()))))
+
     def able(k: Column) -> Column:
-        # Each sentence is judged once for each keyword; unfit ones are null and leave.
-        rated = F.transform(sentences, lambda s, i: F.when(fits_blank(s, k), F.struct((F.length(s) > 150).alias("long"), i.alias("i"), fits_question(mask(trim_blank(s, k), k)).alias("ok"))))
-        order = F.array_sort(F.filter(rated, lambda x: x.isNotNull()))
-        return F.struct(k.alias("k"), F.transform(order, lambda x: F.struct(x["i"].alias("i"), x["ok"].alias("ok"), x["ok"].alias("odd"))).alias("able"))
+        def one(x: Column) -> Column:
+            return let(fits_question(mask(trim_blank(x["s"], k), k)), lambda ok: F.struct(x["i"].alias("i"), ok.alias("ok"), ok.alias("odd")))
+
+        return F.struct(k.alias("k"), F.transform(F.filter("_open", lambda x: fits_keyword(x["s"], k)), one).alias("able"))
 
-    made = _assigned(docs.select(doc, sentences, keywords), doc, F.transform(F.filter(keywords, lambda k: F.length(k) >= 2), able), count)
+    made = _assigned(rated, doc, F.transform(F.filter(keywords, lambda k: F.length(k) >= 2), able), count).drop("_open")
     said = made.withColumn("s", F.element_at(sentences, F.col("i") + 1))
     question = mask(trim_blank(F.col("s"), F.col("k")), F.col("k"))
     out = said.select(doc, F.lit("blank").alias("quiz_type"), F.col("k").alias("keyword"), question.alias("question"), F.col("k").alias("answer"), F.substring("s", 1, CONTEXT).alias("context"))

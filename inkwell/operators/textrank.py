@@ -2,23 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .tfidf import top
-
 WINDOW, DAMPING, ROUNDS, CLOSE, TOP = 4, 0.85, 100, 1e-4, 20
+#: Edges in an Arrow batch.
+STEP = 100_000
+
+
+def graph_of(codes: np.ndarray, n: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """src, dst and weight of the co-occurrences of n words, in order of src, then dst; codes number a document's tokens."""
+    keys, weights = [], []
+    for d in range(1, min(window, len(codes) - 1) + 1):
+        a, b = codes[:-d], codes[d:]
+        first = np.full(len(a), d)
+        for e in range(d - 1, 0, -1):
+            first[codes[e : e + len(a)] == b] = e
+        other = a != b
+        a, b, w = a[other], b[other], 1 / first[other]
+        keys += [a * n + b, b * n + a]
+        weights += [w, w]
+    if not keys:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    return key // n, key % n, np.bincount(inverse, np.concatenate(weights))
+
+
+def _numbered(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct tokens in order of their code points, and each token's number."""
+    coded = tokens.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Row, distinct tokens and numbered tokens of each document that has tokens; nulls among them do not count."""
+    lists = batch.column(1)
+    for i in range(batch.num_rows):
+        tokens = lists[i].values
+        if tokens is not None and len(tokens := tokens.drop_null()):
+            yield i, *_numbered(tokens)
 
 
 def edges(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", window: int = WINDOW) -> DataFrame:
-    """(doc, src, dst, w) in both directions. A token meets each of the next ones with weight 1 / (place where that word first stands in the window)."""
-    # Built from arrays, inside a document's row; only sums are shuffled.
-    t = F.col(tokens)
-    near = F.flatten(F.transform(t, lambda a, i: F.transform(F.slice(t, i + 2, window), lambda b: F.struct(a.alias("a"), b.alias("b"), F.array_position(F.slice(t, i + 2, window), b).alias("d")))))
-    pairs = docs.select(doc, F.explode(F.filter(near, lambda x: x["a"] != x["b"])).alias("x"))
-    both = pairs.select(doc, F.explode(F.array(F.struct(F.col("x.a").alias("src"), F.col("x.b").alias("dst")), F.struct(F.col("x.b").alias("src"), F.col("x.a").alias("dst")))).alias("e"), (1 / F.col("x.d")).alias("w"))
-    return both.groupBy(doc, "e.src", "e.dst").agg(F.sum("w").alias("w"))
+    """(doc, src, dst, w) in both directions. A token meets each of the next ones with weight 1 / (place where that word first stands in the window).
+
+    Each document's edges are summed where it lies; nothing is shuffled. Rows are documents: equal ids are not added up.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for i, words, codes in _each(batch):
+                src, dst, w = graph_of(codes, len(words), window)
+                for k in range(0, len(w), STEP):
+                    part = slice(k, k + STEP)
+                    ids = batch.column(0).take(pa.array(np.full(len(w[part]), i)))
+                    yield pa.RecordBatch.from_arrays([ids, words.take(pa.array(src[part])), words.take(pa.array(dst[part])), pa.array(w[part])], [doc, "src", "dst", "w"])
+
+    return docs.select(doc, tokens).mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, src string, dst string, w double")
 
 
 def power(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[np.ndarray, int]:
@@ -62,10 +110,35 @@ def rank_fixed(graph: DataFrame, doc: str = "doc_id", depth: int = 10, damping:
 
 
 def keywords(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", k: int = TOP) -> DataFrame:
-    """(doc, term, score, rank) of the k best words; documents without edges get their most frequent words."""
-    graph = edges(docs, doc, tokens)
-    ranked = rank(graph, doc).select(doc, F.col("node").alias("term"), F.round("score", 6).alias("score"))
-    return top(ranked.unionByName(fallback(docs, doc, tokens)), k, doc)
+    """(doc, term, score, rank) of the k best words; documents without edges get their most frequent words.
+
+    One pass: a document's tokens are numbered, joined to a graph and ranked where they lie, and only words that can be among the k best come back.
+    """
+
+    def run(batches):
+        for batch in batches:
+            ids, terms, scores = [], [], []
+            for i, words, codes in _each(batch):
+                src, dst, w = graph_of(codes, len(words))
+                if len(w):
+                    found = power(src, dst, w, len(words))[0]
+                    # Scores are rounded to six places before they are compared, so whatever may round to the last place stays.
+                    best = np.flatnonzero(found >= (np.partition(found, -k)[-k] if len(found) > k else 0) - 2e-6)
+                    found = found[best]
+                else:
+                    best, found = np.zeros(1, np.int64), np.array([float(len(codes))])
+                ids.append(i)
+                terms.append(words.take(pa.array(best)))
+                scores.append(found)
+            if ids:
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in terms])]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.concat_arrays(terms), pa.array(np.concatenate(scores)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), *lists], [doc, "term", "score"])
+
+    ranked = docs.select(doc, tokens).mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, term array<string>, score array<double>")
+    order = F.array_sort(F.transform(F.arrays_zip("term", "score"), lambda x: F.struct((-F.round(x["score"], 6)).alias("minus"), x["term"].alias("term"))))
+    best = ranked.select(doc, F.posexplode(F.slice(order, 1, k)).alias("at", "x"))
+    return best.select(doc, F.col("x.term").alias("term"), (-F.col("x.minus")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def fallback(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:

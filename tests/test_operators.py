@@ -148,3 +148,34 @@ def test_layout_rows_and_continuations():
 def test_layout_ignores_code_and_weak_subjects():
     got, _ = layout.read_document([(1, "int x = f();  return x;"), (1, "정의  모듈 내부의 요소들이 관련된 정도")])
     assert got == []
+
+
+def test_keywords_against_converged_ranks(spark):
+    """The one pass over a document's tokens against edges and ranks by brute force: dense matrices in place of sparse ones."""
+    rng = np.random.default_rng(8)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "xyzéß가"]
+    texts = [[words[k] for k in rng.integers(0, m, n)] for m, n in [(60, 400), (5, 30), (2, 9), (60, 3), (60, 2), (1, 6), (40, 1500)]] + [[], None]
+    got = {}
+    for r in textrank.keywords(spark.createDataFrame(list(enumerate(texts)), "doc_id long, tokens array<string>"), k=7).collect():
+        got.setdefault(r.doc_id, []).append((r.rank, r.term, r.score))
+    for i, t in enumerate(texts):
+        nodes = sorted(set(t or ()))
+        at = {w: k for k, w in enumerate(nodes)}
+        m = np.zeros((len(nodes), len(nodes)))
+        for k, a in enumerate(t or ()):
+            near = t[k + 1 : k + 1 + textrank.WINDOW]
+            for b in near:
+                if a != b:
+                    m[at[a], at[b]] += 1 / (near.index(b) + 1)
+                    m[at[b], at[a]] += 1 / (near.index(b) + 1)
+        if m.any():
+            scores = np.full(len(nodes), 1 / len(nodes))
+            for _ in range(textrank.ROUNDS):
+                new = (1 - textrank.DAMPING) / len(nodes) + textrank.DAMPING * (m / m.sum(1, keepdims=True)).T @ scores
+                moved, scores = np.abs(new - scores).sum(), new
+                if moved < textrank.CLOSE:
+                    break
+        else:
+            scores = np.array([float(len(t or ()))] * len(nodes))
+        want = sorted((-round(float(x), 6), w) for w, x in zip(nodes, scores, strict=True))[:7]
+        assert sorted(got.get(i, [])) == [(k, w, -x) for k, (x, w) in enumerate(want, 1)]
