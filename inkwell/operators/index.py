@@ -11,6 +11,11 @@ def build(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataF
     return at.groupBy("term", doc).agg(F.count(F.lit(1)).alias("frequency"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def save(store, index: DataFrame, doc: str = "doc_id") -> int:
+    """Put an index into a store, in place of all that its documents had there; how many postings. store.postings() gives it back for searching."""
+    return store.replace_postings(index.select(F.col("term").alias("word"), F.col(doc).alias("document_id"), "frequency", "positions"))
+
+
 def lengths(index: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, n_tokens): the sum of frequencies."""
     return index.groupBy(doc).agg(F.sum("frequency").alias("n_tokens"))

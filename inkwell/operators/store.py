@@ -1,13 +1,15 @@
-"""The relational store: eight tables as Parquet folders, changed as whole new versions.
+"""The relational store: eight tables as Parquet folders, and one list of the folders that count.
 
-A change computes the table's next version from the current one and swaps it in:
-the new version is written to a folder of its own, and a one-line pointer file
-names it last. A failed change leaves the pointer, and so the table, as it was.
-Deletes cascade along the foreign keys.
+A change writes its rows to folders of their own, then swaps in a new list that
+names them: all tables of a change turn over at once, and a failed change
+leaves everything as it was. New rows are appended as a folder; changed and
+deleted ones make a new version of their table. Deletes cascade along the
+foreign keys. One writer at a time is assumed; readers need no lock.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from datetime import datetime
 
@@ -69,38 +71,48 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        for table in SCHEMAS:  # a second start finds the tables and changes nothing
-            if not self._exists(f"{self.root}/{table}/CURRENT"):
-                self._swap(table, spark.createDataFrame([], SCHEMAS[table]))
+        if not self._fs.exists(self._path(f"{self.root}/CURRENT")):  # a second start finds the tables and changes nothing
+            self._publish({table: [] for table in SCHEMAS}, {})
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
 
-    def _exists(self, p: str) -> bool:
-        return self._fs.exists(self._path(p))
+    def _folders(self) -> dict[str, list[str]]:
+        source = self._fs.open(self._path(f"{self.root}/CURRENT"))
+        text = bytes(source.readAllBytes()).decode()
+        source.close()
+        return json.loads(text)
 
-    def _swap(self, table: str, df: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(SCHEMAS[table])]).write.parquet(f"{self.root}/{table}/{version}")
-        new, current = self._path(f"{self.root}/{table}/{version}.new"), self._path(f"{self.root}/{table}/CURRENT")
+    def _publish(self, changes: dict[str, list[str]], before: dict[str, list[str]]) -> None:
+        """The folders of some tables, in place of those that before names, by one rename."""
+        new, current = self._path(f"{self.root}/{uuid.uuid4().hex}.new"), self._path(f"{self.root}/CURRENT")
         out = self._fs.create(new, True)
-        out.write(version.encode())
+        out.write(json.dumps(before | changes).encode())
         out.close()
         jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
         replace = gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         replace[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(new, current, replace)
 
+    def _write(self, table: str, df: DataFrame) -> str:
+        folder = f"{table}/{uuid.uuid4().hex}"
+        df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(SCHEMAS[table])]).write.parquet(f"{self.root}/{folder}")
+        return folder
+
     def read(self, table: str) -> DataFrame:
-        source = self._fs.open(self._path(f"{self.root}/{table}/CURRENT"))
-        version = bytes(source.readNBytes(32)).decode()
-        source.close()
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/{version}")
+        folders = self._folders()[table]
+        if not folders:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{x}" for x in folders])
 
     def write_all(self, tables: dict[str, DataFrame]) -> None:
-        """Several tables; all are computed before the first is swapped in."""
-        for table, df in tables.items():
-            self._swap(table, df)
+        """New versions of several tables, which turn over together."""
+        before = self._folders()
+        self._publish({table: [self._write(table, df)] for table, df in tables.items()}, before)
+
+    def compact(self, table: str) -> None:
+        """One folder in place of those that inserts have left."""
+        self.write_all({table: self.read(table)})
 
     def _check(self, table: str, df: DataFrame) -> None:
         for (t, column), domain in DOMAINS.items():
@@ -109,12 +121,10 @@ class Store:
         if table == "subjects" and not df.filter(F.coalesce(F.trim("name"), F.lit("")) == "").isEmpty():
             raise ValueError("a subject needs a name")
 
-    def insert(self, table: str, rows: DataFrame | list[dict]) -> int:
-        """Append rows with new ids, defaults and times; how many."""
+    def _frame(self, table: str, rows: DataFrame | list[dict]) -> DataFrame:
+        """rows with defaults and times, without ids."""
         fields = T._parse_datatype_string(SCHEMAS[table]).fields
         if isinstance(rows, list):
-            if not rows:
-                return 0
             names = [f for f in fields if f.name in rows[0]]
             rows = self.spark.createDataFrame([tuple(r[f.name] for f in names) for r in rows], T.StructType(names))
         self._check(table, rows)
@@ -132,31 +142,56 @@ class Store:
         for name in ("name", "word"):
             if name in rows.columns:
                 rows = rows.withColumn(name, F.trim(name))
-        old = self.read(table)
-        top = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        return rows.drop("id")
+
+    def _numbered(self, table: str, rows: DataFrame) -> tuple[str, int]:
+        """The folder of new rows with ids, and how many they are. Rows are written before they are numbered, so that numbers and rows cannot part."""
+        top = self.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        stage = f"{self.root}/stage-{uuid.uuid4().hex}"
         # Ids follow the order of rows within partitions: no row leaves its partition to be numbered.
-        new = rows.withColumn("_m", F.monotonically_increasing_id())
-        counts = {r[0]: r[1] for r in new.groupBy(F.shiftright("_m", 33).alias("p")).count().collect()}  # one row a partition
-        before, starts = 0, {}
+        rows.withColumn("_m", F.monotonically_increasing_id()).write.parquet(stage)
+        staged = self.spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_m", T.LongType())])).parquet(stage)
+        part = F.shiftright("_m", 33).alias("_p")
+        counts = {r[0]: r[1] for r in staged.groupBy(part).count().collect()}  # one row a partition of the insert
+        n, starts = 0, []
         for p in sorted(counts):
-            starts[p], before = before, before + counts[p]
-        if not counts:
-            return 0
-        offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
-        new = new.withColumn("id", F.lit(top) + F.try_element_at(offset, F.shiftright("_m", 33)) + F.col("_m").bitwiseAND((1 << 33) - 1) + 1).drop("_m")
-        self._swap(table, old.unionByName(new.select(*old.columns)))
-        return before
+            starts.append((p, n))
+            n += counts[p]
+        offsets = F.broadcast(self.spark.createDataFrame(starts, "_p long, _from long"))
+        numbered = staged.withColumn("_p", part).join(offsets, "_p").withColumn("id", F.lit(top) + F.col("_from") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1)
+        folder = self._write(table, numbered)
+        self._fs.delete(self._path(stage), True)
+        return folder, n
 
-    def update(self, table: str, where: Column, **values: object) -> None:
-        """Set columns of rows; a changed subject is stamped."""
+    def change(self, versions: dict[str, DataFrame] | None = None, added: dict[str, DataFrame | list[dict]] | None = None) -> dict[str, int]:
+        """New versions of tables and rows to append, of one table or several; all turn over at once. How many rows each table got."""
+        before, changes, n = self._folders(), {}, {}
+        for table, df in (versions or {}).items():
+            changes[table] = [self._write(table, df)]
+        for table, rows in (added or {}).items():
+            n[table] = 0
+            if not isinstance(rows, list) or rows:
+                folder, n[table] = self._numbered(table, self._frame(table, rows))
+                changes[table] = changes.get(table, before[table]) + [folder]
+        self._publish(changes, before)
+        return n
+
+    def insert(self, table: str, rows: DataFrame | list[dict]) -> int:
+        """Append rows with new ids, defaults and times; how many."""
+        return self.change(added={table: rows})[table]
+
+    def changed(self, table: str, where: Column, **values: object) -> DataFrame:
+        """The table with columns of some rows set; a changed subject is stamped. where and columns among the values are taken from the rows as they were."""
         df = self.read(table)
         if table == "subjects":
             values.setdefault("updated_at", datetime.now().replace(microsecond=0))
-        for c, v in values.items():
-            v = v if isinstance(v, Column) else F.lit(v)
-            df = df.withColumn(c, F.when(where, v.cast(df.schema[c].dataType)).otherwise(F.col(c)))
+        new = {c: v if isinstance(v, Column) else F.lit(v) for c, v in values.items()}
+        return df.select(*[F.when(where, new[f.name].cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name) if f.name in new else F.col(f.name) for f in df.schema.fields])
+
+    def update(self, table: str, where: Column, **values: object) -> None:
+        df = self.changed(table, where, **values)
         self._check(table, df)
-        self._swap(table, df)
+        self.write_all({table: df})
 
     def delete(self, table: str, where: Column) -> None:
         """Delete rows and all that refer to them."""
@@ -165,13 +200,31 @@ class Store:
         after = cascade(tables, table, gone)
         self.write_all({t: df for t, df in after.items() if df is not tables[t]})
 
+    def of(self, table: str, parent_id: int, newest_first: bool = True) -> DataFrame:
+        """Rows that refer to one row of their parent (the first in REFERS), as listings show them."""
+        rows = self.read(table).filter(F.col(REFERS[table][0][1]) == parent_id)
+        stamp = next((c for c in STAMPS if c in rows.columns), None)
+        return rows.orderBy(F.desc(stamp), F.desc("id")) if stamp and newest_first else rows.orderBy("id")
+
+    def subjects(self) -> DataFrame:
+        """All subjects, the newest first."""
+        return self.read("subjects").orderBy(F.desc("created_at"), F.desc("id"))
+
+    def quizzes_of(self, document_id: int, kind: str | None = None) -> DataFrame:
+        rows = self.of("quizzes", document_id)
+        return rows.filter(F.col("quiz_type") == kind) if kind else rows
+
+    def delete_quizzes(self, document_id: int, kind: str | None = None) -> None:
+        """A document's questions, of one kind if named, with the results that refer to them."""
+        where = F.col("document_id") == document_id
+        self.delete("quizzes", where & (F.col("quiz_type") == kind) if kind else where)
+
     # What the application does with the tables.
 
     def replace_keywords(self, document_id: int, rows: DataFrame) -> int:
-        """New automatic keywords of a document; those a user added stay."""
-        old = self.read("keywords")
-        self._swap("keywords", old.filter((F.col("document_id") != document_id) | F.col("is_user_added")))
-        return self.insert("keywords", rows.withColumn("document_id", F.lit(document_id)))
+        """New automatic keywords of a document; those a user added stay. Old and new ones change places at once."""
+        old = self.read("keywords").filter((F.col("document_id") != document_id) | F.col("is_user_added"))
+        return self.change({"keywords": old}, {"keywords": rows.withColumn("document_id", F.lit(document_id))})["keywords"]
 
     def add_user_keyword(self, document_id: int, word: str) -> int:
         return self.insert("keywords", [{"document_id": document_id, "word": word, "is_user_added": True}])
@@ -185,12 +238,19 @@ class Store:
 
     def replace_postings(self, rows: DataFrame) -> int:
         """Postings (word, document_id, frequency, positions) in place of all that their documents had."""
-        old = self.read("inverted_index")
-        self._swap("inverted_index", old.join(rows.select("document_id").distinct(), "document_id", "left_anti").select(*old.columns))
-        return self.insert("inverted_index", rows)
+        old = self.read("inverted_index").join(rows.select("document_id").distinct(), "document_id", "left_anti")
+        return self.change({"inverted_index": old}, {"inverted_index": rows})["inverted_index"]
+
+    def postings(self) -> DataFrame:
+        """The saved index as the search operators take it."""
+        return self.read("inverted_index").select(F.col("word").alias("term"), F.col("document_id").alias("doc_id"), "frequency", "positions")
 
     def complete_session(self, session_id: int, total: int, correct: int, score: float) -> None:
-        self.update("quiz_sessions", F.col("id") == session_id, total_questions=total, correct_count=correct, score=round(score, 2), completed=True, completed_at=datetime.now().replace(microsecond=0))
+        self.write_all({"quiz_sessions": self.completed(session_id, total, correct, score)})
+
+    def completed(self, session_id: int, total: int, correct: int, score: float) -> DataFrame:
+        """The sessions with one of them completed."""
+        return self.changed("quiz_sessions", F.col("id") == session_id, total_questions=total, correct_count=correct, score=round(score, 2), completed=True, completed_at=datetime.now().replace(microsecond=0))
 
     def update_document_content(self, document_id: int, sentences: list[str]) -> None:
         """A document's sentences, edited, as its content."""
