@@ -9,7 +9,7 @@ runs out is refined twice, down to 36 bits of hash; no documents are sorted.
 Only (id, source, size, hash) are kept between passes; texts are read once.
 
 Defined results: a null text has no words; rows are taken one by one, rows with
-equal id together (their hash is equal); a null source is a source of its own;
+equal id and text together (their hash is equal); a null source is a source of its own;
 an empty table gives an empty table.
 """
 
@@ -17,33 +17,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, same, small, words
+from .common import cut, finished, same, small, words
 
 BITS, LEVELS = 12, 3
 
 
-def hash36(c: Column) -> Column:
-    """36 bits of the id's MD5, which other engines can compute too."""
-    return F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit("null")).cast("binary")), 1, 9), 16, 10).cast("long")
+def hash36(doc_id: Column, text: Column) -> Column:
+    """36 bits of the MD5 of id and text, which other engines can compute too. Rows of one id that holds very many can be told apart by their texts."""
+    whole = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 9), 16, 10).cast("long")
+
+
+def _in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """df with _p, its place in a range partitioning by order: rows of a lower _p come before those of a higher one. Written out, so that _p stays."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def _running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df (with _p, see _in_order) with running sums up to each row, in order: sums within a part, and those of the parts before it. Only one row a part meets in one task."""
+    own = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    parts = df.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    parts = cut(parts.select("_p", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums]))
+    out = df.join(F.broadcast(parts), "_p")
+    return out.select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_{k}")).alias(k) for k, c in sums.items()])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(_source, source_size) with target. One row a source: the only windows over all of them."""
-    order = W.orderBy(F.col("_source").asc_nulls_last())
-    weighed = sizes.withColumn("rank", F.row_number().over(order)).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("double"))
+    """(_source, source_size) with target. Sources are ranked and summed up in parts, so that there may be as many as there are hosts."""
+    rank = [F.col("_source").asc_nulls_last()]
+    ranked = _running(_in_order(sizes, *rank), rank, rank=F.lit(1)).drop("_p")
+    weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("double"))
     limited = weighed.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("limit") / F.col("weight"))
-    by = W.orderBy("ratio", "rank")
-    budget = F.sum("source_size").over(W.partitionBy()) * F.lit(share)
+    by = [F.col("ratio"), F.col("rank")]
+    summed = cut(_running(_in_order(limited, *by), by, limits=F.col("limit"), weights=F.col("weight")))
+    total = summed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if total.size is None:
+        return summed.select("_source", "source_size", F.lit(0.0).alias("target"))
     # If all before one are at their limit, the rest share at this level; the right level is the highest.
-    level = (budget - (F.sum("limit").over(by) - F.col("limit"))) / F.sum("weight").over(by.rowsBetween(W.currentRow, W.unboundedFollowing))
-    level = limited.withColumn("level", level).withColumn("level", F.max("level").over(W.partitionBy()))
-    return level.select("_source", "source_size", F.least(F.col("limit"), F.greatest(F.col("level"), F.lit(0.0)) * F.col("weight")).alias("target"))
+    level = (F.lit(total.size * share) - (F.col("limits") - F.col("limit"))) / (F.lit(total.weight) - F.col("weights") + F.col("weight"))
+    highest = max(summed.agg(F.max(level)).first()[0], 0.0)
+    return summed.select("_source", "source_size", F.least(F.col("limit"), F.lit(highest) * F.col("weight")).alias("target"))
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> tuple[DataFrame, DataFrame, int]:
     """Rows (_id, _source, size, hash), and for each source (s, source_size, target, times, threshold); how many sources."""
-    sized = cut(docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_source"), F.size(words(F.col(text))).cast("long").alias("size")).withColumn("hash", hash36(F.col("_id"))))
-    sizes = sized.groupBy("_source").agg(F.sum("size").alias("source_size"))
+    sized = cut(docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{source}`").alias("_source"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("size"), hash36(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("hash")))
+    sizes = cut(sized.groupBy("_source").agg(F.sum("size").alias("source_size")))
     n = sizes.count()
     p = targets(sizes, weights, share, cap)
     p = p.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
@@ -78,8 +99,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it."""
-    _, final, n = plan(docs, doc_id, text, source, **how)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{source}`").alias("_source"), hash36(F.col(f"`{doc_id}`")).alias("_hash"))
+    final = finished(lambda: plan(docs, doc_id, text, source, **how)[1])
+    n = final.count()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{source}`").alias("_source"), hash36(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("_hash"))
     taken = rows.join(small(final, n), same(F.col("_source"), F.col("s"))).withColumn("_copies", _copies(F.col("_hash"))).filter("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 

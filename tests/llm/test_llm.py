@@ -147,6 +147,33 @@ def test_mixing_meets_targets(docs, corpus, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_many_sources_and_one_id(spark):
+    """As many sources as there are hosts, in parts; and an id, and null ids, that hold a third of all rows."""
+    rng = random.Random(6)
+    rows = [(5 if i % 3 == 0 else None if i % 3 == 1 else i, " ".join(["w"] * rng.randint(1, 9)) + f" {i}", f"host{rng.randint(0, 300)}" if i % 7 else None) for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = {}
+    for r in got:
+        x = by.setdefault(r.source, [r.target, r.source_size, 0])
+        x[2] += r.size * r.copies
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, fixed = 1.5 * sum(sizes.values()), set()
+    while True:  # what a source cannot take is shared by the others
+        level = left / sum(weight[s] for s in order if s not in fixed)
+        over = [s for s in order if s not in fixed and level * weight[s] > 2 * sizes[s]]
+        if not over:
+            break
+        fixed.update(over)
+        left -= sum(2 * sizes[s] for s in over)
+    for s in order:
+        assert by[s][:2] == [pytest.approx(2 * sizes[s] if s in fixed else level * weight[s]), sizes[s]]
+        assert abs(by[s][2] - by[s][0]) <= 10
+
+
 def test_secret_formats(docs, corpus):
     patterns = (("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[2]) >= 6), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 24))
     for r, (_, t, *_) in zip(sorted(secrets.scan(docs).collect(), key=lambda r: r.doc_id), sorted(corpus, key=lambda x: x[0]), strict=True):
@@ -391,6 +418,38 @@ def test_reliabilities_are_recovered():
     assert np.abs(table[:, 1, 2] - good).max() < 0.08
 
 
+def test_empty_tables_and_long_texts(spark, empty, tmp_path):
+    import corpus_pipeline as p
+
+    for df in (licenses.scan(empty), secrets.scan(empty), pii.detect(empty), neardup.deduplicated(empty), suffixdedup.cut_repeats(empty)):
+        assert df.count() == 0
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert p.run(spark, str(tmp_path)).count() == 0
+    long = "undr the mit license. " * 20_000 + "under the mit license"
+    text = long + " mail a.b@x.org " * 5000
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (None, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert rows[1].places.count("mit:") == 20_001 and rows[1].n_base == 1 and rows[None].n_words == 0
+    assert [len(r.spans) for r in pii.detect(df).orderBy("doc_id").collect()] == [0, 5000, 5000, 0]
+
+
+def test_edited_notices_are_found(spark):
+    """Recall over planted notices with up to the allowed edits, and precision over look-alikes."""
+    rng = random.Random(31)
+    texts, right = [], []
+    for i in range(300):
+        n = licenses.NOTICES[i % len(licenses.NOTICES)]
+        phrase = list(n.phrase)
+        free = [k for k, c in enumerate(phrase) if c != " " and not any(x in n.phrase.split() and n.phrase.index(x) <= k < n.phrase.index(x) + len(x) for x in n.names)]
+        for k in rng.sample(free, min(n.edits, rng.randint(0, 2))):
+            phrase[k] = rng.choice("qzj")
+        said = "".join(phrase) if i % 3 else rng.choice(["under the bsd license", "apache license version 9", "general public transport", "cc by sa", "mozilla public relations", "by the mit"])
+        texts.append((i, " ".join(rng.choice(WORDS) for _ in range(30)) + f" {said} " + " ".join(rng.choice(WORDS) for _ in range(30))))
+        right.append(n.label if i % 3 else "")
+    got = [r.labels for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == right
+
+
 def test_line_dedup(docs, corpus, empty):
     strip = " \t\n\x0b\x0c\r"
     held = {}
