@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import bpe, linededup, mixing, neardup, quality
-from inkwell.llm.common import cut
+from inkwell.llm.common import finished, remove
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage. A null or empty text is rejected at first; repeated rows are copies of each other; an empty table gives an empty one."""
+    docs = before = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+        after = finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if docs is not before:
+            remove(docs)
+        docs = after
     return docs
