@@ -349,10 +349,10 @@ def cosine_tokens_pairs(spark, d):
 
 
 @query(f"""WITH {_N}, {_counts('b', 'e', False)}, u AS (SELECT doc_id, term, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS u FROM e)
-SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.u * b.u), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL""")
+SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.u * b.u), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL UNION ALL SELECT DISTINCT doc_id, doc_id, 1.0::DOUBLE FROM e""")
 def cosine_matrix(spark, d):
     counts = tfidf.term_counts(notes(spark, d), with_bigrams=False)
-    return similarity.cosine_pairs(counts, weight="tf").withColumn("cosine", F.round("cosine", 6))
+    return similarity.cosine_pairs(counts, weight="tf").union(similarity.cosine_diagonal(counts, weight="tf")).withColumn("cosine", F.round("cosine", 6))
 
 
 def covered(spark, d):
@@ -385,7 +385,12 @@ def compare_docs(spark, d):
     return out.select("doc_id", "x.similarity", "x.is_similar", F.array_join("x.common_words", " ").alias("common"), F.size("x.only_a").alias("n_a"), F.size("x.only_b").alias("n_b"))
 
 
-@query()
+@query(f"""{_COV}, kw AS (SELECT doc_id, list(term ORDER BY rank) AS k FROM top GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n, round((count(*) FILTER (status = 'covered') + 0.5 * count(*) FILTER (status = 'partial')) / count(*), 4)::DOUBLE AS rate, coalesce(list(term ORDER BY rank) FILTER (status = 'missing'), []::VARCHAR[]) AS missing FROM st GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(note) = 0 THEN 0.0 ELSE rate END AS coverage_rate, CASE WHEN len(note) = 0 THEN 0.0 ELSE round(rate * 100, 1) END AS coverage_pct,
+  CASE WHEN len(note) = 0 THEN 0.0 ELSE round(len(list_filter(note, lambda t: list_contains(k, t))) / len(note), 4) END::DOUBLE AS keyword_density,
+  CASE WHEN len(note) = 0 THEN 0.0 ELSE round({_cos('tokens', 'note')}, 4) END::DOUBLE AS similarity, len(k)::INTEGER AS total_keywords, CASE WHEN len(note) = 0 THEN k ELSE missing END AS missing
+FROM pr JOIN kw USING (doc_id) JOIN n USING (doc_id)""")
 def coverage_report(spark, d):
     return similarity.coverage_report(covered(spark, d).withColumnsRenamed({"tokens": "source_tokens", "note": "target_tokens"})).select("doc_id", "coverage_rate", "coverage_pct", "keyword_density", "similarity", "total_keywords", "missing")
 
@@ -589,10 +594,20 @@ def ox_quiz_inline(spark, d):
     return quiz.ox_quizzes(rows)
 
 
-@query("WITH s(s) AS (VALUES " + ", ".join(f"('{x}')" for x in LECTURE) + f""") SELECT s AS sentence, length(s) >= 20 AND NOT regexp_matches(s, '^({'|'.join(quiz.PROPERTIES)})') AND len(regexp_extract_all(s, '[가-힣]')) >= 6
-  AND len(string_split(s, ' ')) >= 3 AND NOT {_contains('substr(s, 1, 20)', quiz.OPENERS)} AND NOT regexp_matches(s, '하시오|쓰시오') AS fits FROM s""")
+#: A sentence that can be asked, and one for each rule that it may break.
+OX_SAMPLES = (*LECTURE, "① 모듈화는 시스템을 작은 단위로 나누어 관리하는 방법이다.", "짧은 문장은 묻지 못한다.", "모듈화는 시스템을 작은 단위로 나누는 방법인가요?  ", "정의는 모듈 내부 요소들이 서로 관련된 정도를 말한다.", "모듈화는 시스템을 작은 단위로 나누는 방법이다 12-3", "Cohesion is the degree of relation 정도이다 okay then.",
+    "모듈화는 ★★★ ♥♥♥ ♦♦♦ ♣♣♣ ◆◆◆ ●●● 방법이다", "모듈화는시스템을작은 단위로나누어관리하는방법이다.", "정답 : 모듈화는 시스템을 작은 단위로 나누는 방법이다.", "당신이 모듈화를 시스템에 적용하는 방법을 생각해 보자.", "모듈화가 시스템에 주는 영향을 두 가지 이상 서술하시오.", "모듈화는 public 접근자와 함께 시스템을 작게 나누는 방법이다.",
+    "모듈화는 myClassName 아니라 MyClass: 형태로 시스템을 나눈다.", "모듈화는 시스템: 단위, 크기 등으로 나누어 관리하는 방법이다.", "3 모듈화는 시스템을 작은 단위로 나누어 관리하는 방법이다.", "모듈화는 가나다라마바사아자차카타파 단위로 나누는 방법이다.")
+
+
+@query("WITH r(r) AS (VALUES " + ", ".join(f"('{x}')" for x in OX_SAMPLES) + rf"""), s AS (SELECT r, regexp_replace(trim(r, {_SPACES}), '^[·\-•①②③④⑤⑥⑦⑧⑨⑩() \t]+', '') AS s FROM r), e AS (SELECT *, regexp_replace(s, '\s+\z', '') AS e FROM s)
+SELECT r AS sentence, length(s) >= 20 AND NOT regexp_matches(e, '[?？]\z') AND NOT regexp_matches(s, '^({'|'.join(quiz.PROPERTIES)})') AND NOT regexp_matches(e, '[\d\-]{{1,5}}[\.\)]?\s*\z')
+  AND len(regexp_extract_all(s, '[가-힣]')) >= 6 AND len(regexp_extract_all(s, '[^가-힣A-Za-z0-9\s①②③④⑤⑥⑦⑧⑨⑩]')) / length(s) <= 0.35 AND len(string_split_regex(trim(s, {_SPACES}), '\s+')) >= 3
+  AND NOT {_contains('s', quiz.ANSWER_KEYS + quiz.ANSWER_KEYS_SPACED)} AND NOT {_contains('substr(s, 1, 20)', quiz.OPENERS)} AND NOT regexp_matches(s, '^({'|'.join(quiz.OPENERS)})')
+  AND NOT regexp_matches(s, '(하시오|쓰시오|설명하시오|구하시오|답하시오|나열하시오|서술하시오)[.。]?\s*\z') AND NOT {_contains('s', quiz.CODE_OX)} AND NOT regexp_matches(s, '[A-Z][a-z]+[A-Z][\w가-힣]*:')
+  AND NOT regexp_matches(s, '[\w가-힣]+\s*:\s+[\w가-힣]+,\s*[\w가-힣]+') AND NOT regexp_matches(s, '^\s*\d') AND NOT regexp_matches(s, '[가-힣]{{12,}}') AS fits FROM e""")
 def ox_candidates_inline(spark, d):
-    return spark.createDataFrame([(s,) for s in LECTURE], "sentence string").select("sentence", quiz.fits_ox(F.col("sentence")).alias("fits"))
+    return spark.createDataFrame([(s,) for s in OX_SAMPLES], "sentence string").select("sentence", quiz.fits_ox(F.col("sentence")).alias("fits"))
 
 
 _ANSWERS = "SELECT a.conv_id, a.turn, a.text AS given, b.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
@@ -639,9 +654,12 @@ def grade_band(spark, d):
     return history_rows(spark, d).select("id", scores.grade(F.col("total_score")).alias("grade"), scores.band(F.col("total_score")).alias("band"))
 
 
-@query(f"""WITH {_H}, a AS (SELECT source, count(*) AS n FROM documents GROUP BY source), q AS (SELECT source, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source),
+_STATS = f"""WITH {_H}, a AS (SELECT source, count(*) AS n FROM documents GROUP BY source), q AS (SELECT source, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source),
 s AS (SELECT source, round(avg(total_score), 1) AS avg_score FROM h JOIN documents USING (doc_id) GROUP BY source)
-SELECT source AS subject, a.n AS document_count, coalesce(q.n, 0) AS quiz_count, coalesce(avg_score, 0.0) AS avg_score FROM a LEFT JOIN q USING (source) LEFT JOIN s USING (source)""")
+SELECT source AS subject, a.n AS document_count, coalesce(q.n, 0) AS quiz_count, coalesce(avg_score, 0.0) AS avg_score FROM a LEFT JOIN q USING (source) LEFT JOIN s USING (source)"""
+
+
+@query(_STATS)
 def subject_stats(spark, d):
     x = table(spark, d, "documents").select("doc_id", F.col("source").alias("subject"))
     return scores.subject_stats(x, table(spark, d, "labels").select("doc_id"), history_rows(spark, d))
@@ -689,18 +707,27 @@ def donut(spark, d):
     return scores.donut(c.select("doc_id", *[F.size(f"c.{k}").cast("long").alias(f"{k}_count") for k in ("covered", "partial", "missing")]))
 
 
-@query()
+@query(f"""WITH {_H}, s AS (SELECT doc_id, count(*) AS n, max(total_score) AS best FROM h GROUP BY doc_id), l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY measured_at DESC, id DESC) = 1),
+r AS (SELECT d.doc_id, coalesce(n, 0) AS n, coalesce(best, 0.0) AS best, coalesce(total_score, 0.0) AS total FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)),
+c AS (SELECT doc_id, unnest([
+  {{'card': '최종 점수', 'shown': CASE WHEN n > 0 THEN round(total::DECIMAL(18, 2), 0)::BIGINT || '점 (' || {_GRADE.format('total')} || ')' ELSE '--' END, 'v': total, 'low': 'danger'}},
+  {{'card': '퀴즈 점수', 'shown': CASE WHEN n > 0 THEN round(total::DECIMAL(18, 2), 0)::BIGINT || '점' ELSE '--' END, 'v': total, 'low': 'danger'}},
+  {{'card': '커버리지', 'shown': CASE WHEN n > 0 THEN '0점' ELSE '--' END, 'v': 0.0::DOUBLE, 'low': 'warn'}},
+  {{'card': '키워드 밀도', 'shown': CASE WHEN n > 0 THEN '0점' ELSE '--' END, 'v': 0.0::DOUBLE, 'low': 'warn'}},
+  {{'card': '총 세션', 'shown': n || '회', 'v': 100.0::DOUBLE, 'low': 'danger'}},
+  {{'card': '최고 점수', 'shown': CASE WHEN n > 0 THEN round(best::DECIMAL(18, 2), 0)::BIGINT || '점' ELSE '--' END, 'v': best, 'low': 'danger'}}]) AS x FROM r)
+SELECT doc_id, x.card AS card, x.shown AS shown, CASE WHEN x.v >= 60 THEN 'ok' ELSE x.low END AS band FROM c""")
 def score_cards(spark, d):
     return scores.cards(reported(spark, d))
 
 
-@query()
+@query(f"WITH {_H} SELECT coalesce(strftime(measured_at, '%Y-%m-%d %H:%M'), '-') AS date, 'doc ' || doc_id AS title, round(total_score::DECIMAL(18, 2), 1) || '점' AS score, CASE WHEN total_score >= 60 THEN '통과' ELSE '미통과' END AS passed, 1 AS missing_count FROM h JOIN documents USING (doc_id)")
 def score_listing(spark, d):
     titles = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id")).alias("title"))
     return scores.score_listing(history_rows(spark, d).select("*", F.col("doc_id").alias("document_id"), F.array("chapter").alias("missing_concepts")), titles)
 
 
-@query()
+@query(f"SELECT *, CASE WHEN avg_score >= 60 THEN 'ok' WHEN avg_score >= 40 THEN 'warn' ELSE 'danger' END AS band FROM ({_STATS})")
 def subject_dashboard(spark, d):
     return scores.dashboard(subject_stats(spark, d))
 
@@ -736,21 +763,34 @@ def clear_auto_keywords(spark, d):
 
 # Pages.
 
-PAGES = ((1, 1, "머리말 내용", [10.0, 10.0]), (1, 2, "제1장 소개", [18.0]), (1, 3, "본문 내용이 이어진다", [10.0]), (1, 4, "2.1 설계 원리", [11.0]), (2, 1, "Chapter 1", [20.0]), (2, 2, "text\n\n\n\n 12 \nmore-\nover", [9.0]))
+def line_pages(spark, d):
+    """Lines of documents as pages: (doc_id, page_num, text, font_sizes), short ones in large letters."""
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    large = F.array(F.lit(15.0), F.lit(13.0))
+    return lines.select("doc_id", (F.col("pos") + 1).alias("page_num"), "text", F.when(F.length("text") <= 30, large).otherwise(F.array(F.lit(10.0))).alias("font_sizes"))
 
 
-def _pages(spark):
-    return spark.createDataFrame(list(PAGES), "doc_id int, page_num int, text string, font_sizes array<double>")
+_PAGES = rf"""p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS page_num FROM documents),
+hp AS (SELECT *, list_avg(CASE WHEN length(text) <= 30 THEN [15.0::DOUBLE, 13.0] ELSE [10.0::DOUBLE] END) >= {chapters.HEADING_SIZE} AS heading, trim(text, {_SPACES}) AS first FROM p),
+tp AS (SELECT *, CASE WHEN first <> '' AND (length(first) <= 80 AND ({" OR ".join(f"regexp_matches(first, '{x}')" for x in chapters.TITLES)}) OR heading AND length(first) <= 50) THEN first END AS title FROM hp),
+np AS (SELECT *, title IS NOT NULL AND page_num > 1 AS starts FROM tp),
+cp AS (SELECT *, sum(starts::INTEGER) OVER (PARTITION BY doc_id ORDER BY page_num)::INTEGER AS chapter_idx FROM np)"""
 
 
-@query("SELECT * FROM (VALUES (1, 0, '서론', 1, 1, '머리말 내용'), (1, 1, '제1장 소개', 2, 3, '제1장 소개' || chr(10) || chr(10) || '본문 내용이 이어진다'), (1, 2, '2.1 설계 원리', 4, 4, '2.1 설계 원리'), (2, 0, '서론', 1, 2, 'Chapter 1' || chr(10) || chr(10) || 'text' || chr(10) || chr(10) || chr(10) || chr(10) || ' 12 ' || chr(10) || 'more-' || chr(10) || 'over')) t(doc_id, chapter_idx, title, start_page, end_page, text)")
-def chapter_split_inline(spark, d):
-    return chapters.chapters(_pages(spark)).withColumn("chapter_idx", F.col("chapter_idx").cast("int"))
+@query(f"WITH {_PAGES} SELECT doc_id, chapter_idx, coalesce(max(title) FILTER (starts), '서론') AS title, min(page_num) AS start_page, max(page_num) AS end_page, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM cp GROUP BY doc_id, chapter_idx")
+def chapter_split(spark, d):
+    return chapters.chapters(line_pages(spark, d)).withColumn("chapter_idx", F.col("chapter_idx").cast("int"))
 
 
-@query("SELECT * FROM (VALUES (1, 1, false), (1, 2, true), (1, 3, false), (1, 4, false), (2, 1, true), (2, 2, false)) t(doc_id, page_num, heading)")
+@query(f"WITH {_PAGES} SELECT doc_id, page_num, heading, title FROM tp")
 def heading_flag(spark, d):
-    return _pages(spark).select("doc_id", "page_num", chapters.is_heading(F.col("font_sizes")).alias("heading"))
+    p = line_pages(spark, d)
+    return p.select("doc_id", "page_num", chapters.is_heading(F.col("font_sizes")).alias("heading"), chapters.title(F.col("text"), chapters.is_heading(F.col("font_sizes"))).alias("title"))
+
+
+@query("SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id")
+def full_text(spark, d):
+    return chapters.full_text(line_pages(spark, d))
 
 
 @query(rf"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)\f|^\s*\d+\s*$|^\s*[-–—]{{3,}}\s*$', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '-\n(\S)', '\1', 'g'), {_SPACES}) AS text FROM documents")

@@ -180,7 +180,7 @@ def table_sentences(lines: DataFrame, doc: str = "doc_id", page: str = "page", l
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([page, line_no])
         found, pages = read_document(list(zip(pdf[page], pdf[line], strict=True)))
-        return pd.DataFrame({doc: [key[0]] * len(found), "idx": range(len(found)), "sentence": found, "table_pages": [sorted(map(int, pages))] * len(found)})
+        return pd.DataFrame({doc: [key[0]] * len(found), "idx": range(len(found)), "sentence": pd.Series(found, dtype=object), "table_pages": pd.Series([sorted(map(int, pages))] * len(found), dtype=object)})
 
     kind = lines.schema[doc].dataType.simpleString()
     return lines.groupBy(doc).applyInPandas(run, f"{doc} {kind}, idx int, sentence string, table_pages array<int>")

@@ -49,3 +49,22 @@ def transform(counts: DataFrame, vocab: DataFrame, doc: str = "doc_id", sublinea
 def corpus_scores(weights: DataFrame, n_docs: int) -> DataFrame:
     """(term, score): mean over all documents, those without the term included."""
     return weights.groupBy("term").agg((F.sum("tfidf") / n_docs).alias("score")).withColumn("score", F.round("score", 6))
+
+
+def keywords(docs: DataFrame, top_n: int = 50, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """(doc, term, score, rank) of each document's top_n terms, out of twice as many features."""
+    return fit_single(docs, doc, tokens, 2 * top_n).filter(F.col("rank") <= top_n).select(doc, "term", "score", "rank")
+
+
+def corpus_keywords(docs: DataFrame, top_n: int = 50, doc: str = "doc_id", tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """(term, score, rank) of a corpus's top_n terms, out of a vocabulary of twice as many, and that vocabulary (term, df, idf)."""
+    counts = term_counts(docs, doc, tokens)
+    n = docs.count()
+    vocab = vocabulary(counts, n, 2 * top_n)
+    best = corpus_scores(transform(counts, vocab, doc), n).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "term")))  # at most 2 * top_n rows
+    return best.filter(F.col("rank") <= top_n), vocab
+
+
+def as_map(scored: DataFrame, doc: str = "doc_id", term: str = "term", score: str = "score") -> DataFrame:
+    """(doc, scores map<term, score>) of rows (doc, term, score)."""
+    return scored.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(term, score)))).alias("scores"))

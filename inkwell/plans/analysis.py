@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as t
-from ..operators import chapters, concepts, index, sentences, textrank
+from ..operators import chapters, concepts, index, layout, sentences, textrank
 from ..sources import files
 
 
@@ -25,6 +25,20 @@ def process_chapters(pages: DataFrame, doc: str = "doc_id") -> DataFrame:
     return process(chapters.chapters(pages, doc))
 
 
+def parsed(pages: DataFrame, lines: DataFrame, doc: str = "doc_id", page: str = "page_num", text: str = "text") -> DataFrame:
+    """(doc, text) of documents from pages (doc, page_num, text) and their layout lines (doc, page, line_no, line).
+
+    Pages that hold tables leave the body; the sentences read from tables follow it.
+    """
+    said = layout.table_sentences(lines, doc)
+    rows = said.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("_s"), F.first("table_pages").alias("_t"))
+    tables = rows.select(doc, F.explode("_t").alias(page))
+    cleaned = pages.select(doc, page, chapters.clean_page(F.col(text)).alias(text)).filter(F.col(text) != "")
+    body = chapters.full_text(cleaned.join(tables, [doc, page], "left_anti"), doc, page, text)
+    every = pages.select(doc).distinct().join(body, doc, "left").join(rows.select(doc, F.array_join(F.transform("_s", lambda x: x["sentence"]), "\n").alias("_more")), doc, "left")
+    return every.select(doc, F.concat_ws("\n\n", F.coalesce(text, F.lit("")), F.nullif("_more", F.lit(""))).alias(text))
+
+
 def analyse(docs: DataFrame, doc: str = "doc_id", requested: str = "ko", k: int = concepts.MOST) -> dict[str, DataFrame]:
     """The tables of one analysis: documents, keywords, sentences that lead, postings."""
     rows = files.ingest(docs, requested).drop("normal")

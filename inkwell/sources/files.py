@@ -39,6 +39,47 @@ def validate(files: DataFrame) -> DataFrame:
     return files.withColumn("ok", bad.isNull()).withColumn("message", F.coalesce(bad, F.lit("OK")))
 
 
+def check_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, ok, message) of named paths, from their metadata: whether each is there, a file, of a known kind, not empty, and not too large. validate() judges contents."""
+    rows = []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        ending = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+        status = fs.getFileStatus(p) if fs.exists(p) else None
+        bad = (
+            "no such file" if status is None
+            else "not a file" if not status.isFile()
+            else f"unsupported extension: {ending}" if ending not in EXTENSIONS
+            else "empty file" if status.getLen() == 0
+            else f"larger than {MAX_MB} MB" if status.getLen() > MAX_MB * 1024 * 1024
+            else None
+        )
+        rows.append((path, bad is None, bad or "OK"))
+    return spark.createDataFrame(rows, "path string, ok boolean, message string")
+
+
+def validate_pdf(files: DataFrame, extractor: Callable[[bytes], dict]) -> DataFrame:
+    """(path, ok, message, page_count) of PDF files (path, content): first bytes, whether the extractor can read them, and pages."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf.path, pdf.content, strict=True):
+                if bytes(content[:5]) != b"%PDF-":
+                    rows.append((path, False, "damaged PDF", 0))
+                    continue
+                try:
+                    n = len(extractor(bytes(content))["pages"])
+                except Exception as e:  # whatever the extractor that was passed in raises
+                    rows.append((path, False, f"damaged PDF: {e}", 0))
+                else:
+                    rows.append((path, n > 0, "OK" if n else "PDF without pages", n))
+            yield pd.DataFrame(rows, columns=["path", "ok", "message", "page_count"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, ok boolean, message string, page_count int")
+
+
 @F.pandas_udf(T.StringType())
 def _decoded(s: pd.Series) -> pd.Series:
     def one(b):

@@ -42,6 +42,11 @@ def test_files(spark, tmp_path):
     texts = {r.path.rsplit("/", 1)[1]: r.text for r in files.read_text(read.filter("path like '%.txt'")).collect()}
     assert texts == {"a.txt": "안녕하세요", "b.txt": "hello"}
     assert files.list_files(spark, str(tmp_path)).count() == 3
+    said = {r.path.rsplit("/", 1)[1]: r.message for r in files.check_paths(spark, [str(tmp_path / x) for x in ("a.txt", "c.pdf", "d.doc", "e.txt", "none.txt")] + [str(tmp_path)]).collect()}
+    assert said == {"a.txt": "OK", "c.pdf": "OK", "d.doc": "unsupported extension: .doc", "e.txt": "empty file", "none.txt": "no such file", tmp_path.name: "not a file"}
+    pdfs = spark.createDataFrame([("1", b"no pdf"), ("2", b"%PDF-1"), ("3", b"%PDF-0"), ("4", b"%PDF-x")], "path string, content binary")
+    pages = lambda b: {"pages": [("p", [])] * int(b[-1:])}
+    assert [(r.path, r.ok, r.page_count) for r in files.validate_pdf(pdfs, pages).orderBy("path").collect()] == [("1", False, 0), ("2", True, 1), ("3", False, 0), ("4", False, 0)]
     pdf = files.read_pdf(read.filter("path like '%.pdf'"), lambda b: {"metadata": {"title": "t"}, "pages": [("one", [12.0]), (" ", []), ("three", [9.0, 11.0])]})
     assert [(r.page_num, r.text, r.title) for r in pdf.orderBy("page_num").collect()] == [(1, "one", "t"), (3, "three", "t")]
 
