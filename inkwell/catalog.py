@@ -355,10 +355,14 @@ def cosine_matrix(spark, d):
     return similarity.cosine_pairs(counts, weight="tf").union(similarity.cosine_diagonal(counts, weight="tf")).withColumn("cosine", F.round("cosine", 6))
 
 
+def topped(df):
+    """df with its ten keywords, counted in each document's row."""
+    return tfidf.with_top(df, 10, to="_top").withColumn("keywords", F.transform("_top", lambda x: x["term"])).drop("_top").filter(F.size("keywords") > 0)
+
+
 def covered(spark, d):
     """Each document's ten keywords against its note."""
-    top = tfidf.fit_single(docs(spark, d), k=10).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    return paired(spark, d).join(top, "doc_id")
+    return topped(paired(spark, d))
 
 
 _NEAR = "list_aggregate(list_transform(list_filter(note, lambda t: length(t) >= 2), lambda t: contains(t, term) OR contains(term, t)), 'bool_or')"
@@ -560,8 +564,7 @@ def mask_keyword(spark, d):
 
 
 def quizzed(spark, d):
-    top = tfidf.fit_single(docs(spark, d), k=10).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    return said(spark, d).join(top, "doc_id")
+    return topped(said(spark, d))
 
 
 def _contains(c: str, marks) -> str:

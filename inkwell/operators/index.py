@@ -2,13 +2,37 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.arrays import numbered
+
 
 def build(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """(term, doc, frequency, positions). Empty tokens are left out but take a position."""
-    at = docs.select(doc, F.posexplode(tokens).alias("pos", "term")).filter("term <> ''")
-    return at.groupBy("term", doc).agg(F.count(F.lit(1)).alias("frequency"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """(term, doc, frequency, positions). Empty tokens are left out but take a position.
+
+    A document's postings come from its own row: nothing is shuffled. Rows are documents: those of one id are not put together.
+    """
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            for i in range(batch.num_rows):
+                row = lists[i].values
+                if row is None or not len(row):
+                    continue
+                at = np.flatnonzero(pc.fill_null(pc.not_equal(row, ""), False).to_numpy(zero_copy_only=False))
+                if not len(at):
+                    continue
+                words, codes = numbered(row.take(pa.array(at)))
+                counts = np.bincount(codes, minlength=len(words))
+                positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(at[np.argsort(codes, kind="stable")], pa.int32()))
+                ids = batch.column(0).take(pa.array(np.full(len(words), i)))
+                yield pa.RecordBatch.from_arrays([words, ids, pa.array(counts, pa.int64()), positions], ["term", doc, "frequency", "positions"])
+
+    return docs.select(doc, tokens).mapInArrow(run, f"term string, `{doc}` {docs.schema[doc].dataType.simpleString()}, frequency long, positions array<int>")
 
 
 def save(store, index: DataFrame, doc: str = "doc_id") -> int:

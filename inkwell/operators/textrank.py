@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from ..functions.arrays import each, lists_of
 
 WINDOW, DAMPING, ROUNDS, CLOSE, TOP = 4, 0.85, 100, 1e-4, 20
 #: Edges in an Arrow batch.
@@ -33,24 +32,6 @@ def graph_of(codes: np.ndarray, n: int, window: int = WINDOW) -> tuple[np.ndarra
     return key // n, key % n, np.bincount(inverse, np.concatenate(weights))
 
 
-def _numbered(tokens: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The distinct tokens in order of their code points, and each token's number."""
-    coded = tokens.dictionary_encode()
-    order = pc.array_sort_indices(coded.dictionary).to_numpy()
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
-
-
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """Row, distinct tokens and numbered tokens of each document that has tokens; nulls among them do not count."""
-    lists = batch.column(1)
-    for i in range(batch.num_rows):
-        tokens = lists[i].values
-        if tokens is not None and len(tokens := tokens.drop_null()):
-            yield i, *_numbered(tokens)
-
-
 def edges(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", window: int = WINDOW) -> DataFrame:
     """(doc, src, dst, w) in both directions. A token meets each of the next ones with weight 1 / (place where that word first stands in the window).
 
@@ -59,7 +40,7 @@ def edges(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", window:
 
     def run(batches):
         for batch in batches:
-            for i, words, codes in _each(batch):
+            for i, words, codes in each(batch.column(1)):
                 src, dst, w = graph_of(codes, len(words), window)
                 for k in range(0, len(w), STEP):
                     part = slice(k, k + STEP)
@@ -118,7 +99,7 @@ def keywords(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", k: in
     def run(batches):
         for batch in batches:
             ids, terms, scores = [], [], []
-            for i, words, codes in _each(batch):
+            for i, words, codes in each(batch.column(1)):
                 src, dst, w = graph_of(codes, len(words))
                 if len(w):
                     found = power(src, dst, w, len(words))[0]
@@ -131,8 +112,7 @@ def keywords(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", k: in
                 terms.append(words.take(pa.array(best)))
                 scores.append(found)
             if ids:
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in terms])]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.concat_arrays(terms), pa.array(np.concatenate(scores)))]
+                lists = [lists_of(terms, pa.string()), lists_of([pa.array(x) for x in scores], pa.float64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), *lists], [doc, "term", "score"])
 
     ranked = docs.select(doc, tokens).mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, term array<string>, score array<double>")

@@ -5,8 +5,11 @@ Scores are compared and ranked at 6 decimals, ties by term.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from ..functions.arrays import each, lists_of
 from ..functions.text import ngrams
 
 MAX_FEATURES, MIN_DF = 500, 1
@@ -24,13 +27,53 @@ def top(df: DataFrame, k: int, doc: str = "doc_id", score: str = "score", term:
     return df.withColumn(rank, F.row_number().over(best)).filter(F.col(rank) <= k)
 
 
+def _best(tf: np.ndarray, k: int, sublinear: bool) -> np.ndarray:
+    """Places of the terms that can be among the k best; terms are in order, and scores depend on counts alone."""
+    if len(tf) <= k:
+        return np.arange(len(tf))
+    total = tf.sum()
+    score = (np.log1p(tf) if sublinear else tf / total) * (np.log((total + 1) / (tf + 1)) + 1)
+    last = np.partition(score, -k)[-k]
+    # Scores are compared at six decimals: counts whose scores come this near to the last place stay, as does all above it.
+    near = np.abs(score - last) < 2e-6
+    if len(np.unique(tf[near])) > 1:
+        return np.flatnonzero(score > last - 2e-6)
+    above = np.flatnonzero((score > last) & ~near)
+    return np.concatenate([above, np.flatnonzero(near)[: k - len(above)]])
+
+
+def with_top(df: DataFrame, k: int = MAX_FEATURES, tokens: str = "tokens", to: str = "top", sublinear: bool = True, with_bigrams: bool = True) -> DataFrame:
+    """df with its k best terms: array<struct<minus, term, tf>> in order, minus being the score's negative. A document's terms are counted where its row lies; nothing is shuffled."""
+    terms = ngrams(F.col(tokens)) if with_bigrams else F.col(tokens)
+    rows = df.drop(to).withColumn("_terms", terms)
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("_t array<string>, _n array<bigint>, _all bigint").fields])
+
+    def run(batches):
+        for batch in batches:
+            words, counts = [pa.array([], pa.string())] * batch.num_rows, [pa.array([], pa.int64())] * batch.num_rows
+            totals = np.zeros(batch.num_rows, np.int64)
+            for i, distinct, codes in each(batch.column(batch.num_columns - 1)):
+                tf = np.bincount(codes, minlength=len(distinct))
+                best = _best(tf, k, sublinear)
+                words[i], counts[i], totals[i] = distinct.take(pa.array(best)), pa.array(tf[best], pa.int64()), tf.sum()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists_of(words, pa.string()), lists_of(counts, pa.int64()), pa.array(totals)], schema.names)
+
+    counted = rows.mapInArrow(run, schema)
+    total = F.col("_all")
+
+    def scored(x: Column) -> Column:
+        weight = F.log1p(x["_n"]) if sublinear else x["_n"] / total
+        score = F.round(weight * (F.log((total + 1) / (x["_n"] + 1)) + 1), 6)
+        return F.struct((-score).alias("minus"), x["_t"].alias("term"), x["_n"].alias("tf"))
+
+    return counted.withColumn(to, F.slice(F.array_sort(F.transform(F.arrays_zip("_t", "_n"), scored)), 1, k)).drop("_t", "_n", "_all")
+
+
 def fit_single(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", k: int = MAX_FEATURES, sublinear: bool = True, with_bigrams: bool = True) -> DataFrame:
-    """(doc, term, tf, score, rank): ln(1+tf) * (ln((T+1)/(tf+1)) + 1) with T all terms of the document; tf/T in place of ln(1+tf) unless sublinear."""
-    counts = term_counts(docs, doc, tokens, with_bigrams)
-    total = F.sum("tf").over(W.partitionBy(doc))
-    weight = F.log1p("tf") if sublinear else F.col("tf") / total
-    scored = counts.withColumn("score", F.round(weight * (F.log((total + 1) / (F.col("tf") + 1)) + 1), 6))
-    return top(scored, k, doc)
+    """(doc, term, tf, score, rank): ln(1+tf) * (ln((T+1)/(tf+1)) + 1) with T all terms of the document; tf/T in place of ln(1+tf) unless sublinear. Rows are documents: those of one id are not put together."""
+    rows = with_top(docs.select(doc, tokens), k, tokens, "_top", sublinear, with_bigrams)
+    best = rows.select(doc, F.posexplode("_top").alias("_at", "_x"))
+    return best.select(doc, F.col("_x.term").alias("term"), F.col("_x.tf").alias("tf"), (-F.col("_x.minus")).alias("score"), (F.col("_at") + 1).alias("rank"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int, k: int = MAX_FEATURES, min_df: int = MIN_DF, smooth: bool = True) -> DataFrame:
