@@ -7,6 +7,8 @@ row a document. Order is fixed by hashes of a seed where chance would choose.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import let, pinned, strip
@@ -140,24 +142,24 @@ def swapped(s: Column, keyword: Column, new: Column) -> Column:
     return F.when(at == 0, s).otherwise(F.concat(F.substring(s, 1, at - 1), new, F.coalesce(fitted, F.lit("")), rest))
 
 
-def _assigned(docs: DataFrame, doc: str, candidates: Column, count: int) -> DataFrame:
+def _assigned(docs: DataFrame, doc: str, candidates: Column, count: int, judge: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """(doc, k, i, n) of the keywords that got a sentence, with its place i and their turn n.
 
-    candidates: for each keyword in order (k, able array<struct<i, ok, odd>>), best sentence first. A keyword
-    takes the first that is not used; it goes without if ok, or odd where its turn is odd, says no.
+    candidates: for each keyword in order (k, able array<int>), its sentences' places, best first. A keyword takes
+    the first that is not used; it goes without if judge(k, i, turn) says no. Only sentences taken are judged.
     """
     start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<k:string,i:int,n:int>>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        first = F.get(F.filter(x["able"], lambda c: ~F.array_contains(s["used"], c["i"])), F.lit(0))
+        first = F.get(F.filter(x["able"], lambda i: ~F.array_contains(s["used"], i)), F.lit(0))
         turn = F.size(s["out"])
 
-        def take(c: Column) -> Column:
-            good = (turn < count) & F.coalesce(F.when(turn % 2 == 1, c["odd"]).otherwise(c["ok"]), F.lit(False))
-            out = F.struct(x["k"].alias("k"), c["i"].alias("i"), turn.alias("n"))
-            return F.when(good, F.struct(F.concat(s["used"], F.array(c["i"])).alias("used"), F.concat(s["out"], F.array(out)).alias("out"))).otherwise(s)
+        def take(i: Column) -> Column:
+            good = (turn < count) & i.isNotNull() & F.coalesce(judge(x["k"], i, turn), F.lit(False))
+            out = F.struct(x["k"].alias("k"), i.alias("i"), turn.alias("n"))
+            return F.when(good, F.struct(F.concat(s["used"], F.array(i)).alias("used"), F.concat(s["out"], F.array(out)).alias("out"))).otherwise(s)
 
-        return let(first, take)
+        return F.when(turn < count, let(first, take)).otherwise(s)
 
     with_able = docs.withColumn("_able", pinned(candidates))
     taken = with_able.withColumn("_taken", pinned(F.aggregate("_able", start, step, lambda s: s["out"])))
@@ -172,12 +174,10 @@ def blank_quizzes(docs: DataFrame, doc: str = "doc_id", sentences: str = "senten
     rated = docs.select(doc, sentences, keywords).withColumn("_open", pinned(F.array_sort(F.filter(rated, lambda x: x.isNotNull()))))
 
     def able(k: Column) -> Column:
-        def one(x: Column) -> Column:
-            return let(fits_question(mask(trim_blank(x["s"], k), k)), lambda ok: F.struct(x["i"].alias("i"), ok.alias("ok"), ok.alias("odd")))
-
-        return F.struct(k.alias("k"), F.transform(F.filter("_open", lambda x: fits_keyword(x["s"], k)), one).alias("able"))
+        return F.struct(k.alias("k"), F.transform(F.filter("_open", lambda x: fits_keyword(x["s"], k)), lambda x: x["i"]).alias("able"))
 
-    made = _assigned(rated, doc, F.transform(F.filter(keywords, lambda k: F.length(k) >= 2), able), count).drop("_open")
+    judge = lambda k, i, turn: let(F.get(sentences, i), lambda s: fits_question(mask(trim_blank(s, k), k)))
+    made = _assigned(rated, doc, F.transform(F.filter(keywords, lambda k: F.length(k) >= 2), able), count, judge).drop("_open")
     said = made.withColumn("s", F.element_at(sentences, F.col("i") + 1))
     question = mask(trim_blank(F.col("s"), F.col("k")), F.col("k"))
     out = said.select(doc, F.lit("blank").alias("quiz_type"), F.col("k").alias("keyword"), question.alias("question"), F.col("k").alias("answer"), F.substring("s", 1, CONTEXT).alias("context"))
@@ -190,11 +190,12 @@ def ox_quizzes(docs: DataFrame, doc: str = "doc_id", sentences: str = "sentences
     rated = docs.select(doc, sentences, keywords).withColumn("_fit", pinned(F.transform(sentences, fits_ox)))
 
     def able(k: Column) -> Column:
-        some = F.transform(sentences, lambda s, i: F.when(F.get("_fit", i) & s.contains(k), F.struct(F.length(s).alias("n"), i.alias("i"), trim_ox(s).contains(k).alias("odd"))))
+        some = F.transform(sentences, lambda s, i: F.when(F.get("_fit", i) & s.contains(k), F.struct(F.length(s).alias("n"), i.alias("i"))))
         best = F.array_sort(F.filter(some, lambda x: x.isNotNull()))
-        return F.struct(k.alias("k"), F.transform(best, lambda x: F.struct(x["i"].alias("i"), F.lit(True).alias("ok"), x["odd"].alias("odd"))).alias("able"))
+        return F.struct(k.alias("k"), F.transform(best, lambda x: x["i"]).alias("able"))
 
-    made = _assigned(rated, doc, F.transform(F.filter(order, lambda k: F.length(k) >= 2), able), count)
+    judge = lambda k, i, turn: (turn % 2 == 0) | trim_ox(F.get(sentences, i)).contains(k)
+    made = _assigned(rated, doc, F.transform(F.filter(order, lambda k: F.length(k) >= 2), able), count, judge)
     cut = made.withColumn("s", F.element_at(sentences, F.col("i") + 1)).withColumn("cut", trim_ox(F.col("s")))
     k = F.col("k")
     pool = F.filter(keywords, lambda r: r.rlike("[가-힣]") & (F.length(r) >= 2) & (r != k) & ~bad_replacement(F.col("cut"), k, r))
