@@ -6,8 +6,9 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: White space as every contract here means it.
 SPACE = " \t\n\x0b\x0c\r"
@@ -16,8 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 50_000
 
 
-#: Paths written by cut() since the innermost finished() began.
-_written: list[list[str]] = []
+#: Paths written by cut() since the innermost finished() of this thread began.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,26 +39,31 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if _written:
-        _written[-1].append(path)
+    if (own := _written.get()) is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def finished(make: Callable[[], DataFrame]) -> DataFrame:
-    """The result of make(), written out; every other table that it wrote is deleted."""
-    _written.append([])
+    """The result of make(), written out; every other table that it wrote is deleted, also when it fails. Threads do not see each other's tables."""
+    inner: list[str] = []
+    outer = _written.set(inner)
     try:
         df = make()
-        paths, _written[-1] = _written[-1], []
-        out = cut(df)
-        own = _written[-1]
+    except BaseException:
+        _written.reset(outer)
+        _delete_all(SparkSession.getActiveSession(), inner)
+        raise
+    _written.reset(outer)
+    try:
+        return cut(df)  # belongs to the finished() around this one, if there is one
     finally:
-        _written.pop()
-    for path in paths:
-        _delete(df.sparkSession, path)
-    if _written:
-        _written[-1] += own
-    return out
+        _delete_all(df.sparkSession, inner)
+
+
+def _delete_all(spark: SparkSession | None, paths: list[str]) -> None:
+    for path in paths if spark else ():
+        _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -96,3 +102,19 @@ def words(c: Column) -> Column:
 
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
+
+
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """df with _p, its place in a range partitioning by order: rows of a lower _p come before those of a higher one. Written out, so that _p stays."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df (with _p, see in_order) with running sums up to each row, in order: sums within a part, and those of the parts before it. Only one row a part meets in one task."""
+    own = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    parts = df.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    parts = cut(parts.select("_p", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums]))
+    out = df.join(F.broadcast(parts), "_p")
+    return out.select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_{k}")).alias(k) for k, c in sums.items()])

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, finished, same, small, words
+from .common import cut, finished, in_order, running, same, small, words
 
 BITS, LEVELS = 12, 3
 
@@ -28,30 +28,14 @@ def hash36(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 9), 16, 10).cast("long")
 
 
-def _in_order(df: DataFrame, *order: Column) -> DataFrame:
-    """df with _p, its place in a range partitioning by order: rows of a lower _p come before those of a higher one. Written out, so that _p stays."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
-
-
-def _running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
-    """df (with _p, see _in_order) with running sums up to each row, in order: sums within a part, and those of the parts before it. Only one row a part meets in one task."""
-    own = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    parts = df.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
-    parts = cut(parts.select("_p", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums]))
-    out = df.join(F.broadcast(parts), "_p")
-    return out.select(*df.columns, *[(F.sum(c).over(own) + F.col(f"_{k}")).alias(k) for k, c in sums.items()])
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(_source, source_size) with target. Sources are ranked and summed up in parts, so that there may be as many as there are hosts."""
     rank = [F.col("_source").asc_nulls_last()]
-    ranked = _running(_in_order(sizes, *rank), rank, rank=F.lit(1)).drop("_p")
+    ranked = running(in_order(sizes, *rank), rank, rank=F.lit(1)).drop("_p")
     weighed = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("double"))
     limited = weighed.withColumn("limit", F.col("source_size") * F.lit(cap)).withColumn("ratio", F.col("limit") / F.col("weight"))
     by = [F.col("ratio"), F.col("rank")]
-    summed = cut(_running(_in_order(limited, *by), by, limits=F.col("limit"), weights=F.col("weight")))
+    summed = cut(running(in_order(limited, *by), by, limits=F.col("limit"), weights=F.col("weight")))
     total = summed.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
     if total.size is None:
         return summed.select("_source", "source_size", F.lit(0.0).alias("target"))

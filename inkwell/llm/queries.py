@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, and their SQL."""
+"""The queries op1 to op13 and the pipeline, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, linededup, mixing, neardup, pii, quality, secrets, sql, suffixdedup, topk
+from . import audit, bpe, importance, licenses, linededup, mixing, neardup, pii, quality, secrets, sql, suffixdedup, topk, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": linededup.op8_line_dedup,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_suffix_dedup": suffixdedup.op10_suffix_dedup,
+        "op11_url_filter": urlfilter.op11_url_filter,
+        "op12_importance": importance.op12_importance,
+        "op13_filter_audit": audit.op13_filter_audit,
     }
 
 
@@ -31,4 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scan": sql.OP4,
         "op8_line_dedup": sql.OP8,
         "op9_quality_rules": sql.OP9,
+        "op11_url_filter": sql.OP11,
+        "op12_importance": sql.OP12,
+        "op13_filter_audit": sql.OP13,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, secrets
+from . import audit, quality, secrets, urlfilter
 
 _WS = r"[\x20\x09-\x0D]"
 _BOTH = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -94,3 +94,49 @@ WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11 = f"""
+WITH r(host, path, verdict) AS (VALUES {", ".join(map(repr, urlfilter.RULES))}),
+p AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT rid, page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), {_LOWER}) AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM p)
+SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, coalesce(r.verdict, '{urlfilter.DEFAULT}') AS verdict
+FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(r.host) + length(r.path) DESC, length(r.host) DESC, r.verdict DESC) = 1
+"""
+
+OP12 = rf"""
+WITH c AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+m AS (SELECT list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+dw AS (SELECT rid, unnest(w) AS w FROM d),
+mw AS (SELECT unnest(w) AS w FROM m),
+words AS (SELECT DISTINCT w FROM dw UNION SELECT w FROM mw),
+b AS (SELECT w, xor(list_reduce([4294967295] || list_transform(range(1, octet_length(encode(w)) + 1), lambda i: ('0x' || substr(hex(encode(w)), 2 * i - 1, 2))::BIGINT), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM words, c),
+s AS (SELECT bucket, count(*)::DOUBLE AS s FROM dw JOIN b USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*)::DOUBLE AS t FROM mw JOIN b USING (w) GROUP BY bucket),
+g AS (SELECT s.bucket, floor(1000 * ln(((coalesce(t.t, 0) + 1) * ((SELECT count(*) FROM dw)::DOUBLE + 10000)) / ((s.s + 1) * ((SELECT count(*) FROM mw)::DOUBLE + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+x AS (SELECT rid, count(*)::BIGINT AS n, sum(gain)::BIGINT AS weight FROM dw JOIN b USING (w) JOIN g USING (bucket) GROUP BY rid),
+y AS (SELECT rid, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT::DOUBLE AS h FROM d LEFT JOIN x USING (rid)),
+z AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score FROM y),
+r AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= n * 10 // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (rid)
+"""
+
+OP13 = f"""
+WITH f(filter_order, step, own, earlier) AS (VALUES {", ".join(map(str, audit.steps()))}),
+d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_WS}+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & own = 0 AND mask & earlier = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & own > 0 AND mask & earlier > 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost
+  FROM c, f GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
