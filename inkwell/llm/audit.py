@@ -10,7 +10,7 @@ before. A filter's sum over all orders has a closed form: a row that fails k
 filters is removed by each of them in one of k orders.
 
 Defined results: a null text is an empty text; a null part is an empty string; a
-row with null id is neither a smaller nor a larger copy; rows of equal id and
+row with null id is neither a smaller nor a larger copy, and has no labels; rows of equal id and
 text are each other's copies but none is smaller; an id with several labels has
 all of them; an empty table gives an empty table. Further columns are ignored.
 """
