@@ -355,6 +355,35 @@ def cosine_matrix(spark, d):
     return similarity.cosine_pairs(counts, weight="tf").union(similarity.cosine_diagonal(counts, weight="tf")).withColumn("cosine", F.round("cosine", 6))
 
 
+#: Least cosine of TF-IDF rows that links two documents.
+LINKED = 0.5
+_LINKED = f"""WITH {_D}, {_counts('d', 'e', False)}, n AS (SELECT count(*)::DOUBLE AS n FROM d), df AS (SELECT term, count(*) AS df FROM e GROUP BY term),
+w AS (SELECT doc_id, term, ln(1 + tf) * (ln((n + 1) / (df + 1)) + 1) AS w FROM e JOIN df USING (term), n),
+k AS (SELECT doc_id, list(term || ':' || w ORDER BY term) AS k FROM w GROUP BY doc_id),
+m AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS size FROM k),
+u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM w WHERE doc_id IN (SELECT rep FROM m)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, round(sum(a.u * b.u), 6) AS cosine FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.u * b.u), 6) >= {LINKED})"""
+
+
+def linked(spark, d):
+    x = docs(spark, d)
+    counts, n = tfidf.term_counts(x, with_bigrams=False), x.count()
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = counts.join(df, "term").select("doc_id", "term", (F.log1p("tf") * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)).alias("w"))
+    return similarity.cosine_join(weights, LINKED)
+
+
+@query(f"{_LINKED} SELECT a, b, cosine, x.size AS a_size, y.size AS b_size FROM pairs JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b")
+def similar_documents(spark, d):
+    return linked(spark, d)[0]
+
+
+@query(f"""{_LINKED}, l AS (SELECT a AS rep, size AS n FROM pairs JOIN m ON doc_id = b UNION ALL SELECT b, size FROM pairs JOIN m ON doc_id = a)
+SELECT doc_id, rep, coalesce(n, 0)::BIGINT + size - 1 AS n_links FROM m LEFT JOIN (SELECT rep, sum(n) AS n FROM l GROUP BY rep) USING (rep)""")
+def similar_links(spark, d):
+    return similarity.links(*linked(spark, d))
+
+
 def topped(df):
     """df with its ten keywords, counted in each document's row."""
     return tfidf.with_top(df, 10, to="_top").withColumn("keywords", F.transform("_top", lambda x: x["term"])).drop("_top").filter(F.size("keywords") > 0)
