@@ -8,13 +8,16 @@ their own, since the sample documents hold no Hangul.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as t
+from .functions.shared import shared_dir
 from .functions.words import STOP_CODE, STOP_EN, STOP_KO
 from .operators import chapters, concepts, index, layout, quiz, scores, sentences, similarity, store, textrank, tfidf
+from .operators.term_table import TermTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -499,6 +502,32 @@ def indexed(spark, d):
     return index.build(docs(spark, d))
 
 
+#: Saved tables of this session: what they were made of, and where they lie.
+_saved: dict[tuple, str] = {}
+
+
+def _table_of(spark, d, name, make, schema, again=False):
+    """A TermTable of what make(spark, d) gives, saved in the shared folder once for each state of the documents; again: a new one."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    changed = source.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(source).getModificationTime()
+    key = (spark.sparkContext.applicationId, name, d, changed)
+    if again or key not in _saved:
+        root = f"{shared_dir(spark)}/inkwell-{name}-{uuid.uuid4().hex}"
+        TermTable(spark, root, schema).replace(make(spark, d))
+        if again:
+            return TermTable(spark, root, schema)
+        _saved[key] = root
+    return TermTable(spark, _saved[key], schema)
+
+
+_POSTING = "term string, doc_id long, frequency long, positions array<int>"
+
+
+def saved(spark, d) -> TermTable:
+    """The saved index of the documents."""
+    return _table_of(spark, d, "index", indexed, _POSTING)
+
+
 @query(f"WITH {_D}, {_INDEX} SELECT term, doc_id, frequency, array_to_string(positions, ' ') AS positions FROM ix")
 def index_build(spark, d):
     return indexed(spark, d).withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
@@ -506,22 +535,22 @@ def index_build(spark, d):
 
 @query(f"WITH {_D}, {_INDEX} SELECT term, doc_id, frequency, array_to_string(positions[1:10], ' ') AS positions, round(ln(1 + frequency), 6) AS score FROM ix WHERE contains(lower(term), 'tion') ORDER BY frequency DESC, term, doc_id LIMIT 50")
 def search_substring(spark, d):
-    return index.search(indexed(spark, d), " TION ").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
+    return index.search_saved(saved(spark, d), " TION ").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), " "))
 
 
-@query(f"WITH {_D}, {_INDEX} SELECT term, doc_id, frequency FROM ix WHERE term = 'there'")
+@query(f"WITH {_D}, {_INDEX} SELECT term, doc_id, frequency FROM ix WHERE term = 'thtion'")
 def search_exact(spark, d):
-    return index.exact(indexed(spark, d), "there").select("term", "doc_id", "frequency")
+    return index.exact(saved(spark, d).words(["thtion"]), "thtion").select("term", "doc_id", "frequency")
 
 
 @query(f"WITH {_D}, {_INDEX} SELECT doc_id FROM ix WHERE term IN ('tion', 'ing') GROUP BY doc_id HAVING count(DISTINCT term) = 2")
 def search_and(spark, d):
-    return index.all_of(indexed(spark, d), ["tion", "ing"])
+    return index.all_of(saved(spark, d).words(["tion", "ing"]), ["tion", "ing"])
 
 
 @query(f"WITH {_D}, {_INDEX} SELECT DISTINCT doc_id FROM ix WHERE term IN ('tion', 'ing', 'ment')")
 def search_or(spark, d):
-    return index.any_of(indexed(spark, d), ["tion", "ing", "ment"])
+    return index.any_of(saved(spark, d).words(["tion", "ing", "ment"]), ["tion", "ing", "ment"])
 
 
 @query(f"WITH {_D}, {_INDEX} SELECT term, doc_id, frequency, round(frequency / sum(frequency) OVER (PARTITION BY doc_id), 6) AS tf FROM ix")
@@ -558,7 +587,7 @@ def keywords_coverage(spark, d):
 @query(f"WITH {_D}, {_INDEX} SELECT term, ix.doc_id, 'doc ' || ix.doc_id AS title, subject, frequency FROM ix JOIN d USING (doc_id) WHERE term ILIKE '%ment%' ORDER BY frequency DESC, term, doc_id LIMIT 50")
 def search_join_title(spark, d):
     titles = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("title"), F.col("source").alias("subject"))
-    return index.search_titles(indexed(spark, d), titles, "MENT")
+    return index.search_titles(saved(spark, d).like("MENT"), titles, "MENT")
 
 
 def keyword_rows(spark, d):
@@ -567,15 +596,21 @@ def keyword_rows(spark, d):
     return top.select("doc_id", F.col("term").alias("word"), F.col("tf").alias("frequency"), (F.col("rank") == 3).alias("is_user_removed"), (F.col("rank") == 5).alias("is_user_added"))
 
 
+def saved_keywords(spark, d) -> TermTable:
+    """Saved keywords, searched by their words."""
+    make = lambda spark, d: keyword_rows(spark, d).withColumnRenamed("word", "term")
+    return _table_of(spark, d, "keywords", make, "term string, doc_id long, frequency long, is_user_removed boolean, is_user_added boolean")
+
+
 @query(f"WITH {_D}, {_counts('d', 'c')}, {_SINGLE}, {_TOP10} SELECT term AS word, doc_id, 'doc ' || doc_id AS title, subject, max(tf)::BIGINT AS frequency FROM top JOIN d USING (doc_id) WHERE rank <> 3 AND contains(lower(term), 'an') GROUP BY ALL")
 def keyword_search(spark, d):
     titles = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("title"), F.col("source").alias("subject"))
-    return index.search_keywords(keyword_rows(spark, d), titles, " AN ")
+    return index.search_keywords(saved_keywords(spark, d).containing(" AN ").withColumnRenamed("term", "word"), titles, " AN ")
 
 
 @query(f"WITH {_D}, {_INDEX} SELECT doc_id, min(abs(x - y))::INTEGER AS distance FROM (SELECT a.doc_id, x, unnest(b.positions) AS y FROM (SELECT doc_id, unnest(positions) AS x FROM ix WHERE term = 'ing') a JOIN ix b ON a.doc_id = b.doc_id AND b.term = 'tion') GROUP BY doc_id HAVING distance <= 5")
 def index_near(spark, d):
-    return index.near(indexed(spark, d), "ing", "tion")
+    return index.near(saved(spark, d).words(["ing", "tion"]), "ing", "tion")
 
 
 @query(f"WITH {_D}, {_INDEX}, {_N}, new AS (SELECT doc_id, unnest(tokens) AS term FROM b) SELECT term, doc_id, frequency FROM ix WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT term, doc_id, count(*) FROM new GROUP BY ALL")
@@ -583,6 +618,14 @@ def upsert_postings(spark, d):
     return index.upsert(indexed(spark, d), index.build(notes(spark, d))).select("term", "doc_id", "frequency")
 
 
+@query(f"WITH {_D}, {_INDEX}, {_N}, new AS (SELECT doc_id, unnest(tokens) AS term FROM b) SELECT term, doc_id, frequency FROM ix WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT term, doc_id, count(*) FROM new GROUP BY ALL")
+def upsert_saved(spark, d):
+    """The same in a saved index: the notes' postings in place of those of the documents with their ids, whose parts alone are written."""
+    table = _table_of(spark, d, "upsert", indexed, _POSTING, again=True)
+    table.replace(index.build(notes(spark, d)), notes(spark, d).select("doc_id"))
+    return table.rows().select("term", "doc_id", "frequency")
+
+
 # Quizzes.
 
 

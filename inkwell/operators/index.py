@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.arrays import numbered
+from .term_table import TermTable
 
 
 def build(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
@@ -40,6 +41,11 @@ def save(store, index: DataFrame, doc: str = "doc_id") -> int:
     return store.replace_postings(index.select(F.col("term").alias("word"), F.col(doc).alias("document_id"), "frequency", "positions"))
 
 
+def search_saved(table: TermTable, query: str, doc_id: int | None = None, limit: int = 50, shown: int = 10) -> DataFrame:
+    """search() over a saved index: reads the buckets of matching terms alone."""
+    return search(table.containing(query), query, doc_id, limit, shown)
+
+
 def lengths(index: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, n_tokens): the sum of frequencies."""
     return index.groupBy(doc).agg(F.sum("frequency").alias("n_tokens"))
@@ -116,10 +122,14 @@ def search_keywords(keywords: DataFrame, documents: DataFrame, query: str, subje
 
 
 def near(index: DataFrame, a: str, b: str, within: int = 5, doc: str = "doc_id") -> DataFrame:
-    """(doc, distance) of documents where a and b stand within so many positions: an extension of positional search."""
-    pick = lambda w, n: index.filter(F.col("term") == w).select(doc, F.col("positions").alias(n))
-    least = F.array_min(F.flatten(F.transform("pa", lambda x: F.transform("pb", lambda y: F.abs(x - y)))))
-    return pick(a, "pa").join(pick(b, "pb"), doc).select(doc, least.alias("distance")).filter(F.col("distance") <= within)
+    """(doc, distance) of documents where a and b stand within so many positions: an extension of positional search. A word is 0 from itself."""
+    if a == b:
+        return index.filter(F.col("term") == a).select(doc, F.lit(0).alias("distance")).filter(F.lit(0) <= within)
+    pick = lambda w: index.filter(F.col("term") == w).select(doc, F.transform("positions", lambda x: F.struct(x.alias("at"), F.lit(w).alias("w"))).alias(f"_{w == a}"))
+    # The nearest two of different words stand side by side once both lists are merged.
+    merged = pick(a).join(pick(b), doc).select(doc, F.array_sort(F.concat(f"_{True}", f"_{False}")).alias("all"))
+    steps = F.transform("all", lambda x, i: F.when((i > 0) & (F.get("all", i - 1)["w"] != x["w"]), x["at"] - F.get("all", i - 1)["at"]))
+    return merged.select(doc, F.array_min(steps).alias("distance")).filter(F.col("distance") <= within)
 
 
 def as_rows(index: DataFrame, doc_id: int, doc: str = "doc_id") -> DataFrame:

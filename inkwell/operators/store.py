@@ -5,6 +5,10 @@ names them: all tables of a change turn over at once, and a failed change
 leaves everything as it was. New rows are appended as a folder; changed and
 deleted ones make a new version of their table. Deletes cascade along the
 foreign keys. One writer at a time is assumed; readers need no lock.
+
+Postings are not among these folders: they are a TermTable, changed by document
+and searched by term. They follow a change once it has turned over; postings of
+a document that has gone are not found by searches that name documents.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ import json
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from .term_table import TermTable
 
 # Tables and their columns.
 SCHEMAS = {
@@ -36,6 +42,8 @@ REFERS = {
     "quiz_results": [("quiz_sessions", "session_id"), ("quizzes", "quiz_id")],
     "comprehension_scores": [("documents", "document_id")],
 }
+#: The table that is kept as a TermTable.
+POSTINGS = "inverted_index"
 DOMAINS = {("documents", "source_type"): ("pdf", "txt", "text"), ("documents", "language"): ("ko", "en"), ("quizzes", "quiz_type"): ("blank", "ox")}
 DEFAULTS = {"description": "", "language": "ko", "char_count": 0, "frequency": 1, "is_user_added": False, "is_user_removed": False, "total_questions": 0, "correct_count": 0, "score": 0.0, "completed": False, "chapter": "전체", "tfidf_score": 0.0, "textrank_score": 0.0}
 STAMPS = ("created_at", "updated_at", "started_at", "answered_at", "measured_at")
@@ -72,7 +80,8 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         if not self._fs.exists(self._path(f"{self.root}/CURRENT")):  # a second start finds the tables and changes nothing
-            self._publish({table: [] for table in SCHEMAS}, {})
+            self._publish({table: [] for table in SCHEMAS if table != POSTINGS}, {})
+        self.index = TermTable(spark, f"{self.root}/{POSTINGS}")
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -100,6 +109,9 @@ class Store:
         return folder
 
     def read(self, table: str) -> DataFrame:
+        if table == POSTINGS:  # ids follow from what they name
+            rows = self.index.rows()
+            return rows.select(F.xxhash64("doc_id", "term").alias("id"), F.col("term").alias("word"), F.col("doc_id").alias("document_id"), F.col("frequency").cast("int").alias("frequency"), "positions")
         folders = self._folders()[table]
         if not folders:
             return self.spark.createDataFrame([], SCHEMAS[table])
@@ -125,8 +137,11 @@ class Store:
         """rows with defaults and times, without ids."""
         fields = T._parse_datatype_string(SCHEMAS[table]).fields
         if isinstance(rows, list):
-            names = [f for f in fields if f.name in rows[0]]
-            rows = self.spark.createDataFrame([tuple(r[f.name] for f in names) for r in rows], T.StructType(names))
+            given = set().union(*rows)
+            if unknown := given - {f.name for f in fields}:
+                raise ValueError(f"{table} has no {', '.join(sorted(unknown))}")
+            names = [f for f in fields if f.name in given]
+            rows = self.spark.createDataFrame([tuple(r.get(f.name) for f in names) for r in rows], T.StructType(names))
         self._check(table, rows)
         now = F.lit(datetime.now().replace(microsecond=0)).cast("timestamp_ntz")
         for f in fields:
@@ -135,6 +150,8 @@ class Store:
             if f.name not in rows.columns:
                 default = now if f.name in STAMPS else F.lit(DEFAULTS.get(f.name))
                 rows = rows.withColumn(f.name, default.cast(f.dataType))
+            elif f.name in STAMPS:
+                rows = rows.withColumn(f.name, F.coalesce(f.name, now))
             elif f.name in DEFAULTS:
                 rows = rows.withColumn(f.name, F.coalesce(f.name, F.lit(DEFAULTS[f.name])))
         if table == "documents":
@@ -165,6 +182,8 @@ class Store:
 
     def change(self, versions: dict[str, DataFrame] | None = None, added: dict[str, DataFrame | list[dict]] | None = None) -> dict[str, int]:
         """New versions of tables and rows to append, of one table or several; all turn over at once. How many rows each table got."""
+        if POSTINGS in {**(versions or {}), **(added or {})}:
+            raise ValueError("postings are changed by replace_postings")
         before, changes, n = self._folders(), {}, {}
         for table, df in (versions or {}).items():
             changes[table] = [self._write(table, df)]
@@ -198,7 +217,14 @@ class Store:
         tables = {t: self.read(t) for t in SCHEMAS}
         gone = tables[table].filter(where).select("id")
         after = cascade(tables, table, gone)
-        self.write_all({t: df for t, df in after.items() if df is not tables[t]})
+        lost = None
+        if after[POSTINGS] is not tables[POSTINGS]:
+            # Documents that lose postings, and what they have left.
+            lost = tables[POSTINGS].join(after[POSTINGS].select("id"), "id", "left_anti").select(F.col("document_id").alias("doc_id")).distinct()
+            left = _as_postings(after[POSTINGS]).join(lost, "doc_id", "left_semi")
+        self.write_all({t: df for t, df in after.items() if df is not tables[t] and t != POSTINGS})
+        if lost is not None:
+            self.index.replace(left, lost)
 
     def of(self, table: str, parent_id: int, newest_first: bool = True) -> DataFrame:
         """Rows that refer to one row of their parent (the first in REFERS), as listings show them."""
@@ -236,14 +262,17 @@ class Store:
         df = self.read("keywords").filter(F.col("document_id") == document_id)
         return (df.filter(~F.col("is_user_removed")) if exclude_removed else df).orderBy(F.desc("tfidf_score"), "id")
 
-    def replace_postings(self, rows: DataFrame) -> int:
-        """Postings (word, document_id, frequency, positions) in place of all that their documents had."""
-        old = self.read("inverted_index").join(rows.select("document_id").distinct(), "document_id", "left_anti")
-        return self.change({"inverted_index": old}, {"inverted_index": rows})["inverted_index"]
+    def replace_postings(self, rows: DataFrame, documents: DataFrame | None = None) -> int:
+        """Postings (word, document_id, frequency, positions) in place of all that their documents had; how many. documents (doc_id) names others that have none any more.
+
+        Only the parts of these documents are written.
+        """
+        self.index.replace(_as_postings(rows), documents)
+        return rows.count()
 
     def postings(self) -> DataFrame:
-        """The saved index as the search operators take it."""
-        return self.read("inverted_index").select(F.col("word").alias("term"), F.col("document_id").alias("doc_id"), "frequency", "positions")
+        """The saved index as the search operators take it; index.containing(), like() and words() read parts of it."""
+        return self.index.rows()
 
     def complete_session(self, session_id: int, total: int, correct: int, score: float) -> None:
         self.write_all({"quiz_sessions": self.completed(session_id, total, correct, score)})
@@ -258,6 +287,10 @@ class Store:
         self.update("documents", F.col("id") == document_id, content=text, char_count=len(text))
 
 
+def _as_postings(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("word").alias("term"), F.col("document_id").alias("doc_id"), "frequency", "positions")
+
+
 def edit_sentences(c: Column, add: list[str] = (), replace: dict[int, str] | None = None, delete: set[int] = frozenset()) -> Column:
     """Sentences with some replaced, deleted (places from 0) and added at the end."""
     for i, s in (replace or {}).items():

@@ -1,12 +1,13 @@
-"""Text files of a folder as a stream into the inverted index: each file is tokenised once, and its postings replace older ones."""
+"""Text files of a folder as a stream into the inverted index: each file is tokenised once, as in a batch, and its postings replace older ones."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import detect_language, normalize, tokens
+from ..functions.text import detect_language, normalized, tokens
 from ..operators import index
+from ..operators.term_table import TermTable
 
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,20 +17,18 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_stream(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Write postings of each batch to a folder of its own below root, named by the batch, so that a batch run twice is written once."""
-    normal = stream.withColumn("n", normalize(F.col("text")))
-    tokened = normal.select("doc_id", tokens(F.col("n"), detect_language(F.col("n"))).alias("tokens"))
+    """Put each batch's postings into the table at root, in place of all that its documents had; an emptied document has none. A batch run twice changes nothing."""
+    normal = normalized(stream)
+    tokened = normal.select("doc_id", tokens(F.col("normal"), detect_language(F.col("normal"))).alias("tokens"))
 
     def write(batch: DataFrame, number: int) -> None:
-        index.build(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/batch={number}")
+        batch = batch.persist()
+        TermTable(batch.sparkSession, root).replace(index.build(batch), batch.select("doc_id"))
+        batch.unpersist()
 
     return tokened.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """Postings, each document's from its newest batch."""
-    from pyspark.sql import Window as W
-
-    rows = spark.read.parquet(root)
-    newest = F.max("batch").over(W.partitionBy("doc_id"))
-    return rows.withColumn("_n", newest).filter("batch = _n").select("term", "doc_id", "frequency", "positions")
+    """All postings of the table at root."""
+    return TermTable(spark, root).rows()
