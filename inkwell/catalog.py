@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as t
-from .functions.shared import shared_dir
+from .functions.shared import kept, shared_dir
 from .functions.words import STOP_CODE, STOP_EN, STOP_KO
 from .operators import chapters, concepts, index, layout, quiz, scores, sentences, similarity, store, textrank, tfidf
 from .operators.term_table import TermTable
@@ -231,32 +231,30 @@ _VOCAB = "v AS (SELECT term, count(*) AS df, ln((n + 1) / (count(*) + 1)) + 1 AS
 
 @query(f"WITH {_D}, {_counts('d', 'c')} SELECT term, count(*) AS df FROM c GROUP BY term ORDER BY df DESC, term LIMIT 500")
 def doc_frequency(spark, d):
-    return tfidf.vocabulary(tfidf.term_counts(docs(spark, d)), 1).select("term", "df")
+    return tfidf.fit_vocabulary(docs(spark, d))[0].select("term", "df")
 
 
 @query(f"WITH {_D}, {_counts('d', 'c')}, {_VOCAB} SELECT term, round(idf, 6) AS idf FROM v")
 def idf_smooth(spark, d):
-    x = docs(spark, d)
-    return tfidf.vocabulary(tfidf.term_counts(x), x.count()).select("term", F.round("idf", 6).alias("idf"))
+    return tfidf.fit_vocabulary(docs(spark, d))[0].select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_D}, {_counts('d', 'c')}, {_VOCAB} SELECT term, round(ln((SELECT count(*) FROM d)::DOUBLE / greatest(df, 1)) + 1, 6) AS idf FROM v")
 def idf_raw(spark, d):
-    x = docs(spark, d)
-    return tfidf.vocabulary(tfidf.term_counts(x), x.count(), smooth=False).select("term", F.round("idf", 6).alias("idf"))
+    return tfidf.fit_vocabulary(docs(spark, d), smooth=False)[0].select("term", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_D}, {_counts('d', 'c')}, {_VOCAB} SELECT term, round(sum(ln(1 + tf) * idf) / (SELECT count(*) FROM d), 6) AS score FROM c JOIN v USING (term) GROUP BY term")
 def tfidf_corpus_mean(spark, d):
     x = docs(spark, d)
-    counts, n = tfidf.term_counts(x), x.count()
-    return tfidf.corpus_scores(tfidf.transform(counts, tfidf.vocabulary(counts, n)), n)
+    vocab, n = tfidf.fit_vocabulary(x)
+    vocab = kept(vocab)
+    return tfidf.corpus_scores(tfidf.transform(tfidf.vocabulary_counts(x, vocab), vocab), n)
 
 
 @query(f"WITH {_D}, {_N}, {_counts('d', 'c')}, {_counts('b', 'e')}, {_VOCAB} SELECT doc_id, term, round(ln(1 + tf) * idf, 6) AS tfidf FROM e JOIN v USING (term)")
 def tfidf_transform(spark, d):
-    x = docs(spark, d)
-    vocab = tfidf.vocabulary(tfidf.term_counts(x), x.count())
+    vocab = kept(tfidf.fit_vocabulary(docs(spark, d))[0])
     return tfidf.transform(tfidf.term_counts(notes(spark, d)), vocab).withColumn("tfidf", F.round("tfidf", 6))
 
 
@@ -421,12 +419,16 @@ def compare_docs(spark, d):
     return out.select("doc_id", "x.similarity", "x.is_similar", F.array_join("x.common_words", " ").alias("common"), F.size("x.only_a").alias("n_a"), F.size("x.only_b").alias("n_b"))
 
 
-@query(f"""{_COV}, kw AS (SELECT doc_id, list(term ORDER BY rank) AS k FROM top GROUP BY doc_id),
+@query(f"""{_COV}, {_counts('b', 'nc', False)}, {_counts('d', 'dc', False)}, size AS (SELECT count(*) AS n FROM b), item AS (SELECT d.doc_id, b.doc_id AS item FROM d JOIN b ON b.doc_id = d.doc_id % (SELECT n FROM size)),
+cs AS (SELECT dc.doc_id, sum(dc.tf * nc.tf) AS dot FROM dc JOIN item ON item.doc_id = dc.doc_id JOIN nc ON nc.doc_id = item AND nc.term = dc.term GROUP BY dc.doc_id),
+dsq AS (SELECT doc_id, sum(tf * tf) AS sq FROM dc GROUP BY doc_id), nsq AS (SELECT doc_id AS item, sum(tf * tf) AS sq FROM nc GROUP BY doc_id),
+sim AS (SELECT item.doc_id, coalesce(dot / sqrt(dsq.sq * nsq.sq), 0)::DOUBLE AS cosine FROM item LEFT JOIN cs USING (doc_id) LEFT JOIN dsq USING (doc_id) LEFT JOIN nsq USING (item)),
+kw AS (SELECT doc_id, list(term ORDER BY rank) AS k FROM top GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n, round((count(*) FILTER (status = 'covered') + 0.5 * count(*) FILTER (status = 'partial')) / count(*), 4)::DOUBLE AS rate, coalesce(list(term ORDER BY rank) FILTER (status = 'missing'), []::VARCHAR[]) AS missing FROM st GROUP BY doc_id)
 SELECT doc_id, CASE WHEN len(note) = 0 THEN 0.0 ELSE rate END AS coverage_rate, CASE WHEN len(note) = 0 THEN 0.0 ELSE round(rate * 100, 1) END AS coverage_pct,
   CASE WHEN len(note) = 0 THEN 0.0 ELSE round(len(list_filter(note, lambda t: list_contains(k, t))) / len(note), 4) END::DOUBLE AS keyword_density,
-  CASE WHEN len(note) = 0 THEN 0.0 ELSE round({_cos('tokens', 'note')}, 4) END::DOUBLE AS similarity, len(k)::INTEGER AS total_keywords, CASE WHEN len(note) = 0 THEN k ELSE missing END AS missing
-FROM pr JOIN kw USING (doc_id) JOIN n USING (doc_id)""")
+  CASE WHEN len(note) = 0 THEN 0.0 ELSE round(cosine, 4) END::DOUBLE AS similarity, len(k)::INTEGER AS total_keywords, CASE WHEN len(note) = 0 THEN k ELSE missing END AS missing
+FROM pr JOIN kw USING (doc_id) JOIN n USING (doc_id) JOIN sim USING (doc_id)""")
 def coverage_report(spark, d):
     return similarity.coverage_report(covered(spark, d).withColumnsRenamed({"tokens": "source_tokens", "note": "target_tokens"})).select("doc_id", "coverage_rate", "coverage_pct", "keyword_density", "similarity", "total_keywords", "missing")
 

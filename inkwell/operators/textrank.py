@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.arrays import each, lists_of
+from ..functions.arrays import best, each, lists_of, round6
 
 WINDOW, DAMPING, ROUNDS, CLOSE, TOP = 4, 0.85, 100, 1e-4, 20
 #: Edges in an Arrow batch.
@@ -63,6 +63,16 @@ def power(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, damping: floa
     return scores, rounds
 
 
+def best_words(codes: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of n words and their scores at six decimals; the one word's count where there are no edges. codes number a document's tokens."""
+    src, dst, w = graph_of(codes, n)
+    if not len(w):
+        return np.zeros(1, np.int64), np.array([float(len(codes))])
+    scores = round6(power(src, dst, w, n)[0])
+    first = best(scores, k)
+    return first, scores[first]
+
+
 def rank(graph: DataFrame, doc: str = "doc_id", damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> DataFrame:
     """(doc, node, score, iterations), converged in each document on its own. A column n counts its nodes where some have no edge."""
     kind = graph.schema["src"].dataType.simpleString()
@@ -93,32 +103,24 @@ def rank_fixed(graph: DataFrame, doc: str = "doc_id", depth: int = 10, damping:
 def keywords(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", k: int = TOP) -> DataFrame:
     """(doc, term, score, rank) of the k best words; documents without edges get their most frequent words.
 
-    One pass: a document's tokens are numbered, joined to a graph and ranked where they lie, and only words that can be among the k best come back.
+    One pass: a document's tokens are numbered, joined to a graph and ranked where they lie, and only the k best come back.
     """
 
     def run(batches):
         for batch in batches:
             ids, terms, scores = [], [], []
             for i, words, codes in each(batch.column(1)):
-                src, dst, w = graph_of(codes, len(words))
-                if len(w):
-                    found = power(src, dst, w, len(words))[0]
-                    # Scores are rounded to six places before they are compared, so whatever may round to the last place stays.
-                    best = np.flatnonzero(found >= (np.partition(found, -k)[-k] if len(found) > k else 0) - 2e-6)
-                    found = found[best]
-                else:
-                    best, found = np.zeros(1, np.int64), np.array([float(len(codes))])
+                first, found = best_words(codes, len(words), k)
                 ids.append(i)
-                terms.append(words.take(pa.array(best)))
+                terms.append(words.take(pa.array(first)))
                 scores.append(found)
             if ids:
                 lists = [lists_of(terms, pa.string()), lists_of([pa.array(x) for x in scores], pa.float64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), *lists], [doc, "term", "score"])
 
     ranked = docs.select(doc, tokens).mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, term array<string>, score array<double>")
-    order = F.array_sort(F.transform(F.arrays_zip("term", "score"), lambda x: F.struct((-F.round(x["score"], 6)).alias("minus"), x["term"].alias("term"))))
-    best = ranked.select(doc, F.posexplode(F.slice(order, 1, k)).alias("at", "x"))
-    return best.select(doc, F.col("x.term").alias("term"), (-F.col("x.minus")).alias("score"), (F.col("at") + 1).alias("rank"))
+    best_of = ranked.select(doc, F.posexplode(F.arrays_zip("term", "score")).alias("at", "x"))
+    return best_of.select(doc, F.col("x.term").alias("term"), F.col("x.score").alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def fallback(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.arrays import each, lists_of
+from ..functions.shared import kept
 from ..functions.text import ngrams
 
 MAX_FEATURES, MIN_DF = 500, 1
@@ -78,9 +80,64 @@ def fit_single(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", k:
 
 def vocabulary(counts: DataFrame, n_docs: int, k: int = MAX_FEATURES, min_df: int = MIN_DF, smooth: bool = True) -> DataFrame:
     """(term, df, idf) of the k terms found in most documents; counts has a row for each document and term."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= min_df)
+    return _with_idf(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs, k, min_df, smooth)
+
+
+def _with_idf(df: DataFrame, n_docs: int, k: int, min_df: int, smooth: bool) -> DataFrame:
     idf = F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1 if smooth else F.log(F.lit(n_docs) / F.greatest("df", F.lit(1))) + 1
-    return df.orderBy(F.desc("df"), "term").limit(k).withColumn("idf", idf)
+    return df.filter(F.col("df") >= min_df).orderBy(F.desc("df"), "term").limit(k).withColumn("idf", idf)
+
+
+def vocabulary_counts(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
+    """term_counts() of the terms in a vocabulary alone: others are not shuffled. The vocabulary has at most its k terms and is broadcast."""
+    rows = docs.select(doc, F.explode(ngrams(F.col(tokens))).alias("term")).join(F.broadcast(vocab.select("term")), "term", "left_semi")
+    return rows.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _sketched(docs: DataFrame, tokens: str, with_bigrams: bool, capacity: int) -> DataFrame:
+    """(term, n, lost): for each partition, terms and a count of its documents that hold them, at most capacity of them; counts are short by lost at most, and so is 0 for terms left out."""
+    terms = ngrams(F.col(tokens)) if with_bigrams else F.col(tokens)
+
+    def run(batches):
+        counts: dict[str, int] = {}
+        lost = 0
+        for batch in batches:
+            found = pc.value_counts(batch.column(0).flatten().drop_null())
+            for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                counts[word] = counts.get(word, 0) + n
+            if len(counts) > capacity:
+                less = sorted(counts.values(), reverse=True)[capacity]
+                counts = {w: n - less for w, n in counts.items() if n > less}
+                lost += less
+        words = list(counts)
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[w] for w in part], pa.int64()), pa.nulls(len(part), pa.int64())], ["term", "n", "lost"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([lost], pa.int64())], ["term", "n", "lost"])
+
+    return docs.select(F.array_distinct(terms).alias("t")).mapInArrow(run, "term string, n long, lost long")
+
+
+def fit_vocabulary(docs: DataFrame, k: int = MAX_FEATURES, doc: str = "doc_id", tokens: str = "tokens", min_df: int = MIN_DF, smooth: bool = True, with_bigrams: bool = True, capacity: int = 50_000) -> tuple[DataFrame, int]:
+    """vocabulary() of documents, and how many they are; rows are documents.
+
+    Each partition keeps a sketch of its commonest terms, and what its counts may lack. A term whose sum of counts stays below the k-th sum by more than all
+    partitions may lack is none of the k: only the others, which may be, are counted in full. If the sketches lack too much to tell, all terms are counted.
+    """
+    n_docs = docs.count()
+    sketch = kept(_sketched(docs, tokens, with_bigrams, capacity))
+    lost = sketch.agg(F.sum("lost")).first()[0] or 0
+    sums = sketch.filter("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("df"))
+    if lost == 0:
+        df = sums
+    else:
+        edge = sums.orderBy(F.desc("df")).limit(k).agg(F.min("df"), F.count(F.lit(1))).first()
+        terms = F.array_distinct(ngrams(F.col(tokens)) if with_bigrams else F.col(tokens))
+        rows = docs.select(F.explode(terms).alias("term"))
+        if edge[1] == k and edge[0] > lost:  # terms in no sketch are none of the k
+            rows = rows.join(sums.filter(F.col("df") + lost >= edge[0]).select("term"), "term", "left_semi")
+        df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _with_idf(df, n_docs, k, min_df, smooth), n_docs
 
 
 def transform(counts: DataFrame, vocab: DataFrame, doc: str = "doc_id", sublinear: bool = True) -> DataFrame:
@@ -101,9 +158,9 @@ def keywords(docs: DataFrame, top_n: int = 50, doc: str = "doc_id", tokens: str
 
 def corpus_keywords(docs: DataFrame, top_n: int = 50, doc: str = "doc_id", tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
     """(term, score, rank) of a corpus's top_n terms, out of a vocabulary of twice as many, and that vocabulary (term, df, idf)."""
-    counts = term_counts(docs, doc, tokens)
-    n = docs.count()
-    vocab = vocabulary(counts, n, 2 * top_n)
+    vocab, n = fit_vocabulary(docs, 2 * top_n, doc, tokens)
+    vocab = kept(vocab)
+    counts = vocabulary_counts(docs, vocab, doc, tokens)
     best = corpus_scores(transform(counts, vocab, doc), n).withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "term")))  # at most 2 * top_n rows
     return best.filter(F.col("rank") <= top_n), vocab
 
