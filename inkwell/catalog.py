@@ -314,6 +314,13 @@ def textrank_sentences(spark, d):
     return textrank.top_sentences(said(spark, d))
 
 
+@query()
+def corpus_rank(spark, d):
+    """Words ranked by the co-occurrences of all documents, in one graph."""
+    graph = textrank.edges(docs(spark, d)).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return textrank.corpus_rank(graph)[0].select("node", F.round("score", 6).alias("score"))
+
+
 # Similarity, coverage, gaps.
 
 

@@ -105,7 +105,4 @@ def _extract_by_joins(docs: DataFrame, doc: str, tokens: str, k: int, ranked: Da
 
 def leading_sentences(docs: DataFrame, doc: str = "doc_id", sentences: str = "sentences", tokens: str = "tokens", k: int = MOST, shown: int = 5) -> DataFrame:
     """The first few, in document order, of each document's 2k best sentences."""
-    from pyspark.sql import Window as W
-
-    best = textrank.top_sentences(docs, doc, sentences, tokens, 2 * k)
-    return best.withColumn("r", F.row_number().over(W.partitionBy(doc).orderBy("sid"))).filter(F.col("r") <= shown).drop("r")
+    return textrank.top_sentences(docs, doc, sentences, tokens, 2 * k, shown)

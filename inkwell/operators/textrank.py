@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.arrays import best, each, lists_of, round6
+from ..functions.shared import kept
 
 WINDOW, DAMPING, ROUNDS, CLOSE, TOP = 4, 0.85, 100, 1e-4, 20
 #: Edges in an Arrow batch.
@@ -140,15 +142,121 @@ def sentence_edges(docs: DataFrame, doc: str = "doc_id", sentences: str = "sente
     return dots.union(dots.select(doc, "dst", "src", "w"))
 
 
-def top_sentences(docs: DataFrame, doc: str = "doc_id", sentences: str = "sentences", tokens: str = "tokens", k: int = TOP) -> DataFrame:
-    """(doc, sid, sentence, score) of the k best sentences, in document order; the first k with score 1 where no two are alike."""
-    sized = docs.select(doc, F.size(sentences).alias("n"))
-    ranked = rank(sentence_edges(docs, doc, sentences, tokens).join(sized, doc), doc).select(doc, F.col("node").alias("sid"), "score")
-    said = docs.select(doc, F.posexplode(sentences).alias("sid", "sentence"))
-    known = ranked.select(doc).distinct()
-    # In a document with edges, sentences without one keep (1-d)/n.
-    n = said.groupBy(doc).agg(F.count(F.lit(1)).alias("n"))
-    full = said.join(n, doc).join(known.withColumn("_k", F.lit(True)), doc, "left").join(ranked, [doc, "sid"], "left")
-    score = F.when(F.col("_k").isNull(), F.lit(1.0)).otherwise(F.coalesce("score", (1 - DAMPING) / F.col("n")))
-    best = W.partitionBy(doc).orderBy(F.desc("score"), "sid")
-    return full.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select(doc, "sid", "sentence", "score")
+def sentence_ranks(words: pa.ListArray, tokens: pa.Array, least: float = 0.001) -> np.ndarray | None:
+    """PageRank over the likeness of a document's sentences (lists of words); None if no two are alike.
+
+    The cosines are products of the sparse matrix of sentences and words, which is applied in two halves and never multiplied out: time and memory
+    grow with the words. Cosines of least or less are no edges; they need sentences so long that the product of their lengths is at least 1 / least,
+    and those pairs alone are computed and taken out, in blocks.
+    """
+    n = len(words)
+    inner = words.flatten()
+    codes = pc.index_in(inner, value_set=tokens.unique().drop_null())
+    sid = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))[codes.is_valid().to_numpy(zero_copy_only=False)]
+    codes = codes.drop_null().to_numpy().astype(np.int64)
+    if not len(codes):
+        return None
+    width = int(codes.max()) + 1
+    key, count = np.unique(sid * width + codes, return_counts=True)
+    sid, codes = key // width, key % width
+    norm = np.sqrt(np.bincount(sid, count * count, n))
+    unit = count / norm[sid]
+    own = (norm > 0).astype(float)  # each sentence's cosine with itself
+    small: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    long = np.flatnonzero(norm * norm.max() >= 1 / least)
+    if len(long):
+        column = np.argsort(codes, kind="stable")
+        start = np.searchsorted(codes[column], np.arange(width + 1))
+        for a in long:
+            row = np.zeros(n)
+            for w, u in zip(codes[sid == a], unit[sid == a], strict=True):
+                at = column[start[w] : start[w + 1]]
+                np.add.at(row, sid[at], u * unit[at])
+            b = np.flatnonzero((row > 0) & (row <= least))
+            small.append((np.full(len(b), a), b, row[b]))
+
+    def times(x: np.ndarray) -> np.ndarray:
+        """The cosines, but for those of a sentence with itself and those that are no edges, times x."""
+        out = np.bincount(sid, unit * np.bincount(codes, unit * x[sid], width)[codes], n) - own * x
+        for a, b, w in small:
+            out -= np.bincount(a, w * x[b], n)
+        return out
+
+    # A sentence has an edge if it shares a word with another one.
+    shared = np.bincount(codes, minlength=width)[codes] > 1
+    linked = np.bincount(sid, shared, n) > 0
+    weight = np.where(linked, times(np.ones(n)), 0.0)
+    linked &= weight > least / 2
+    if not linked.any():
+        return None
+    scores = np.full(n, 1 / n)
+    for _ in range(ROUNDS):
+        given = np.where(linked, scores / np.where(linked, weight, 1.0), 0.0)
+        new = (1 - DAMPING) / n + DAMPING * np.where(linked, times(given), 0.0)
+        moved = np.abs(new - scores).sum()
+        scores = new
+        if moved < CLOSE:
+            break
+    return scores
+
+
+def _best_sentences(k: int):
+    kind = T.ArrayType(T.StructType([T.StructField("sid", T.IntegerType()), T.StructField("score", T.DoubleType())]))
+
+    @F.arrow_udf(kind)
+    def chosen(words: pa.Array, tokens: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(words)):
+            if not words[i].is_valid:
+                out.append(None)
+                continue
+            said = words[i].values
+            scores = sentence_ranks(said, tokens[i].values) if len(said) > 1 and tokens[i].is_valid else None
+            if scores is None:
+                at, found = np.arange(min(k, len(said))), np.ones(min(k, len(said)))
+            else:
+                scores = round6(scores)
+                at = np.sort(best(scores, k))
+                found = scores[at]
+            out.append([{"sid": int(a), "score": float(x)} for a, x in zip(at, found, strict=True)])
+        return pa.array(out, pa.list_(pa.struct([("sid", pa.int32()), ("score", pa.float64())])))
+
+    return chosen
+
+
+def with_top_sentences(docs: DataFrame, sentences: str = "sentences", tokens: str = "tokens", k: int = TOP, to: str = "top") -> DataFrame:
+    """docs with its k best sentences, in document order: array<struct<sid, score>>. The first k with score 1 where no two are alike; nothing is shuffled."""
+    words = F.transform(sentences, lambda s: F.split(s, "(?U)\\s+"))
+    return docs.withColumn(to, _best_sentences(k)(words, F.col(tokens)))
+
+
+def top_sentences(docs: DataFrame, doc: str = "doc_id", sentences: str = "sentences", tokens: str = "tokens", k: int = TOP, shown: int | None = None) -> DataFrame:
+    """(doc, sid, sentence, score) of the k best sentences, in document order, or the first few of them."""
+    rows = with_top_sentences(docs.select(doc, sentences, tokens), sentences, tokens, k, "_top")
+    chosen = F.slice("_top", 1, shown) if shown is not None else F.col("_top")
+    return rows.select(doc, sentences, F.explode(chosen).alias("_x")).select(doc, F.col("_x.sid").alias("sid"), F.get(sentences, F.col("_x.sid")).alias("sentence"), F.col("_x.score").alias("score"))
+
+
+def corpus_rank(graph: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE) -> tuple[DataFrame, int]:
+    """(node, score) of one graph (src, dst, w) of any size, and how many rounds it took: joins, until the scores move by less than close in all.
+
+    Weights of an edge given several times add up. Nodes that no edge leaves keep what they get; their share goes nowhere. Scores are written to the
+    shared folder each round: neither plans nor recomputing grow with the rounds, and what moved is summed up from the written scores.
+    """
+    edges = graph.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    out = edges.groupBy("src").agg(F.sum("w").alias("out"))
+    shares = kept(edges.join(out, "src").filter("out > 0").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+    nodes = kept(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("score", F.lit(0.0)), 0
+    ranks = nodes.withColumn("score", F.lit(1 / n))
+    for k in range(1, rounds + 1):
+        got = shares.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("share") * F.col("score")).alias("got"))
+        new = ranks.withColumnRenamed("score", "old").join(got, "node", "left").select("node", "old", ((1 - damping) / F.lit(n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
+        new = kept(new)
+        moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        ranks = new.select("node", "score")
+        if moved < close:
+            return ranks, k
+    return ranks, rounds
