@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as t
-from .functions.shared import kept, shared_dir
+from .functions.shared import kept, shared_dir, spread
 from .functions.words import STOP_CODE, STOP_EN, STOP_KO
 from .operators import chapters, concepts, index, layout, quiz, scores, sentences, similarity, store, textrank, tfidf
 from .operators.term_table import TermTable
@@ -58,7 +58,7 @@ def tokened(df: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return tokened(table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("subject")))
+    return tokened(spread(table(spark, d, "documents").select("doc_id", "text", F.col("source").alias("subject"))))
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
@@ -119,7 +119,7 @@ _TOP10 = "top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY scor
 
 @query(f"SELECT doc_id, {_normal('text')} AS normal FROM documents")
 def normalize_text(spark, d):
-    return t.normalized(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "normal")
+    return t.normalized(spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "normal")
 
 
 @query(f"WITH {_K} SELECT id, normal, language, array_to_string(tokens, ' ') AS tokens FROM kt")

@@ -62,3 +62,25 @@ def round6(x: np.ndarray) -> np.ndarray:
 def best(scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, the first ones among equals, in order."""
     return np.argsort(-scores, kind="stable")[:k]
+
+
+#: Rows in an Arrow batch of results.
+ROWS = 10_000
+
+
+def gathered(parts: Iterator[list[pa.Array]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns of many small results as batches of ROWS rows and more: a batch for each result would cost more than the result."""
+    held: list[list[pa.Array]] = []
+    n = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names)
+
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= ROWS:
+            yield batch()
+            held, n = [], 0
+    if n:
+        yield batch()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores: a file of few row groups would be read, and all that follows done, by few tasks. Larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() < cores else df
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and read from the shared folder from then on."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once, written as a table in the shared folder and read from there from then on."""
+    path = f"{shared_dir(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the table that kept() wrote for df."""
+    spark = df.sparkSession
+    for name in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

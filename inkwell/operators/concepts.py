@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrays import best, each, ngrams, numbered, round6
+from ..functions.arrays import best, each, gathered, ngrams, numbered, round6
 from . import textrank, tfidf
 
 TFIDF_WEIGHT, RANK_WEIGHT, MOST = 0.6, 0.4, 50
@@ -43,12 +43,15 @@ def _united(terms: pa.Array, place: np.ndarray, counts: np.ndarray, codes: np.nd
 def _each(docs: DataFrame, doc: str, tokens: str, concepts_of) -> DataFrame:
     """The rows of concepts_of(words, codes) for each document: one pass, nothing is shuffled."""
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for i, words, codes in each(batch.column(1)):
                 word, tf, tr, frequency, combined = concepts_of(words, codes)
                 ids = batch.column(0).take(pa.array(np.full(len(word), i)))
-                yield pa.RecordBatch.from_arrays([ids, word, pa.array(tf), pa.array(tr), pa.array(frequency), pa.array(combined), pa.array(np.arange(1, len(word) + 1), pa.int32())], names)
+                yield [ids, word, pa.array(tf), pa.array(tr), pa.array(frequency), pa.array(combined), pa.array(np.arange(1, len(word) + 1), pa.int32())]
+
+    def run(batches):
+        return gathered(rows(batches), names)
 
     names = [doc, "word", "tfidf_score", "textrank_score", "frequency", "combined_score", "rank"]
     kinds = "string, double, double, long, double, int".split(", ")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.arrays import numbered
+from ..functions.arrays import gathered, numbered
 from .term_table import TermTable
 
 
@@ -17,7 +17,7 @@ def build(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataF
     A document's postings come from its own row: nothing is shuffled. Rows are documents: those of one id are not put together.
     """
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             lists = batch.column(1)
             for i in range(batch.num_rows):
@@ -31,7 +31,10 @@ def build(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataF
                 counts = np.bincount(codes, minlength=len(words))
                 positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(at[np.argsort(codes, kind="stable")], pa.int32()))
                 ids = batch.column(0).take(pa.array(np.full(len(words), i)))
-                yield pa.RecordBatch.from_arrays([words, ids, pa.array(counts, pa.int64()), positions], ["term", doc, "frequency", "positions"])
+                yield [words, ids, pa.array(counts, pa.int64()), positions]
+
+    def run(batches):
+        return gathered(rows(batches), ["term", doc, "frequency", "positions"])
 
     return docs.select(doc, tokens).mapInArrow(run, f"term string, `{doc}` {docs.schema[doc].dataType.simpleString()}, frequency long, positions array<int>")
 

@@ -8,8 +8,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
-from ..functions.arrays import best, each, lists_of, round6
-from ..functions.shared import kept
+from ..functions.arrays import best, each, gathered, lists_of, round6
+from ..functions.shared import forget, kept
 
 WINDOW, DAMPING, ROUNDS, CLOSE, TOP = 4, 0.85, 100, 1e-4, 20
 #: Edges in an Arrow batch.
@@ -40,14 +40,17 @@ def edges(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", window:
     Each document's edges are summed where it lies; nothing is shuffled. Rows are documents: equal ids are not added up.
     """
 
-    def run(batches):
+    def rows(batches):
         for batch in batches:
             for i, words, codes in each(batch.column(1)):
                 src, dst, w = graph_of(codes, len(words), window)
                 for k in range(0, len(w), STEP):
                     part = slice(k, k + STEP)
                     ids = batch.column(0).take(pa.array(np.full(len(w[part]), i)))
-                    yield pa.RecordBatch.from_arrays([ids, words.take(pa.array(src[part])), words.take(pa.array(dst[part])), pa.array(w[part])], [doc, "src", "dst", "w"])
+                    yield [ids, words.take(pa.array(src[part])), words.take(pa.array(dst[part])), pa.array(w[part])]
+
+    def run(batches):
+        return gathered(rows(batches), [doc, "src", "dst", "w"])
 
     return docs.select(doc, tokens).mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, src string, dst string, w double")
 
@@ -256,7 +259,9 @@ def corpus_rank(graph: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS
         new = ranks.withColumnRenamed("score", "old").join(got, "node", "left").select("node", "old", ((1 - damping) / F.lit(n) + damping * F.coalesce("got", F.lit(0.0))).alias("score"))
         new = kept(new)
         moved = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-        ranks = new.select("node", "score")
+        if k > 1:
+            forget(last)
+        ranks, last = new.select("node", "score"), new
         if moved < close:
             return ranks, k
     return ranks, rounds

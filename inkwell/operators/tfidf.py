@@ -15,6 +15,8 @@ from ..functions.shared import kept
 from ..functions.text import ngrams
 
 MAX_FEATURES, MIN_DF = 500, 1
+#: Most rows of a table that is broadcast; they are counted before.
+BROADCAST_ROWS = 50_000
 
 
 def term_counts(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", with_bigrams: bool = True) -> DataFrame:
@@ -135,7 +137,8 @@ def fit_vocabulary(docs: DataFrame, k: int = MAX_FEATURES, doc: str = "doc_id",
         terms = F.array_distinct(ngrams(F.col(tokens)) if with_bigrams else F.col(tokens))
         rows = docs.select(F.explode(terms).alias("term"))
         if edge[1] == k and edge[0] > lost:  # terms in no sketch are none of the k
-            rows = rows.join(sums.filter(F.col("df") + lost >= edge[0]).select("term"), "term", "left_semi")
+            able = kept(sums.filter(F.col("df") + lost >= edge[0]).select("term"))
+            rows = rows.join(F.broadcast(able) if able.count() <= BROADCAST_ROWS else able, "term", "left_semi")
         df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return _with_idf(df, n_docs, k, min_df, smooth), n_docs
 
