@@ -131,8 +131,11 @@ def scan(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id"
             for t in batch.column("t").cast(pa.binary()).to_pylist():
                 words, n = normal(t or b"")
                 found = scanner.places(words)
-                # Word numbers: spaces before a place, less the first.
-                spots = [(words.count(" ", 0, s) - 1, words.count(" ", 0, e), i, k) for s, e, i, k in found]
+                # Word numbers: spaces before a place, less the first; places are in order of their starts.
+                spots, spaces, last = [], 0, 0
+                for s, e, i, k in found:
+                    spaces, last = spaces + words.count(" ", last, s), s
+                    spots.append((spaces - 1, spaces + words.count(" ", s, e), i, k))
                 base = [(a, i) for a, _, i, k in spots if not k and notices[i].base]
                 scores = [1 - k / len(notices[i].phrase) for _, _, i, k in spots]
                 row = (

@@ -5,7 +5,7 @@ lines are removed, then documents that lost too much text, or whose text is too
 short or repetitive, are rejected. A line fails
 
 - if too many of its characters are symbols, or punctuation of any kind;
-- if it is long and no sentence ends in it;
+- if it is long and no sentence ends in it, in whatever script;
 - if it holds words of navigation alone;
 - if it is short and holds a phrase of boilerplate. A paragraph that only
   mentions such a phrase stays.
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.text import pinned
 from .common import SPACE, words
 
 #: Phrases of boilerplate lines in English, German, French and Spanish, lower case.
@@ -58,6 +59,9 @@ class Rules:
 
 RULES = Rules()
 SYMBOLS = "[#*$%&|<>]"
+#: What ends a sentence in Latin, Greek, Cyrillic, Chinese, Japanese, Arabic, Urdu, Syriac, Armenian, Ethiopic, Devanagari, Tibetan, Burmese,
+#: Khmer, Mongolian and other scripts; and the letters of Thai and Lao, which end sentences by spaces.
+SENTENCE_END = "[.!?…‼⁇⁈⁉。．！？｡؟۔܀܁܂։՜՞።፧፨।॥᱾᱿།༎༏༑။၊។៕᠃᠉᭞᭟꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫ก-๛ກ-ໟ]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 NAVIGATION_LINE = rf"^[\x20\x09-\x0D]*(?:(?:{NAVIGATION})[\x20\x09-\x0D]*(?:[|>/]+[\x20\x09-\x0D]*|\z))+\z"
 
@@ -68,7 +72,7 @@ def line_fails(line: Column, rules: Rules = RULES) -> Column:
     without = lambda pattern: F.length(F.regexp_replace(line, pattern, ""))
     symbols = (n - without(SYMBOLS)) * 100 > n * rules.symbol_percent
     punctuation = (n - without(PUNCTUATION)) * 100 > n * rules.punctuation_percent
-    endless = (n >= rules.long_line) & ~line.rlike("[.!?]")
+    endless = (n >= rules.long_line) & ~line.rlike(SENTENCE_END)
     phrases = (n <= rules.short_line) & (F.lower(line).rlike(NAVIGATION_LINE) | F.lower(line).rlike(BOILERPLATE))
     return symbols | punctuation | endless | phrases
 
@@ -104,7 +108,8 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFr
     df = df.withColumn("left_chars", F.length(F.regexp_replace("cleaned", "[\\x20\\x09-\\x0D]", "")).cast("long"))
     df = df.withColumn("n_lines_removed", (F.size("_lines") - F.size("_kept_lines")).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.repeat_percent))
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") * 100 >= F.col("word_chars") * rules.least_left_percent))
+    # A filter on the measures would be pushed below them and compute them over and over; past a pinned column it is not.
+    df = df.withColumn("kept", pinned(~F.col("base_failed") & (F.col("left_chars") * 100 >= F.col("word_chars") * rules.least_left_percent)))
     return df.drop("_lines", "_kept_lines", "_words", "_full", "_h", "_sorted", "_twice", "_starts")
 
 

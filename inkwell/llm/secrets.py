@@ -88,12 +88,14 @@ def _none() -> Column:
     return F.array().cast(f"array<{_SPAN}>")
 
 
-def hot_part(index: Column, size: int, bits: float) -> Column:
-    """struct(first, last, best): the places, from 0, where windows of index reach the entropy, and the start of the first one of greatest entropy; first is null if none reaches it. index: places of its characters in a class of so many characters, a column or a lambda's variable."""
+def hot_parts(index: Column, letters: Column, size: int, bits: float) -> Column:
+    """array<struct(first, last)>: the places, from 0 and end exclusive, that hot windows cover. letters: the candidate's characters; index: their places in a class of so many characters; columns or a lambda's variables."""
     limit, logs = most(bits), F.array(*map(F.lit, LOGS))
     moves = F.transform(index, lambda x, i: F.struct(x.alias("x"), i.alias("i"), F.coalesce(F.get(index, i - WINDOW), F.lit(-1)).alias("out")))
-    state = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"), F.lit(limit + 1).cast("long").alias("least"), F.lit(None).cast("int").alias("best"))
+    none = F.lit(None).cast("int")
+    state = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0).cast("long").alias("sum"), none.alias("first"), none.alias("last"), F.array().cast("array<struct<first:int,last:int>>").alias("done"))
     put = lambda counts, k, v: F.concat(F.slice(counts, 1, k), F.array(v), F.slice(counts, k + 2, size))
+    span = lambda s: F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
     def step(s, m):
         # The one that leaves goes first; then the one that enters.
@@ -104,17 +106,18 @@ def hot_part(index: Column, size: int, bits: float) -> Column:
 
     def enter(s, m, t, here):
         total = (t["sum"] + F.get(logs, here + 1) - F.get(logs, here)).cast("long")
-        hot = (m["i"] >= WINDOW - 1) & (total <= limit)
-        return F.struct(
+        begin = m["i"] - (WINDOW - 1)
+        window = F.array_join(F.slice(letters, begin + 1, F.lit(WINDOW)), "")
+        hot = F.when((begin >= 0) & (total <= limit), ~window.rlike(ALLOWED)).otherwise(F.lit(False))
+        return let(hot, lambda h: F.struct(
             put(t["counts"], m["x"], here + 1).alias("counts"),
             total.alias("sum"),
-            F.when(hot & s["first"].isNull(), m["i"] - (WINDOW - 1)).otherwise(s["first"]).cast("int").alias("first"),
-            F.when(hot, m["i"] + 1).otherwise(s["last"]).cast("int").alias("last"),
-            F.when(hot, F.least(s["least"], total)).otherwise(s["least"]).alias("least"),
-            F.when(hot & (total < s["least"]), m["i"] - (WINDOW - 1)).otherwise(s["best"]).cast("int").alias("best"),
-        )
+            F.when(h & (s["first"].isNull() | (begin > s["last"])), begin).otherwise(s["first"]).cast("int").alias("first"),
+            F.when(h, m["i"] + 1).otherwise(s["last"]).cast("int").alias("last"),
+            F.when(h & (begin > s["last"]), F.concat(s["done"], span(s))).otherwise(s["done"]).alias("done"),
+        ))
 
-    return F.aggregate(moves, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"), s["best"].alias("best")))
+    return F.aggregate(moves, state, step, lambda s: F.when(s["first"].isNull(), s["done"]).otherwise(F.concat(s["done"], span(s))))
 
 
 def _named(spans: Column, rank: int) -> Column:
@@ -122,23 +125,18 @@ def _named(spans: Column, rank: int) -> Column:
 
 
 def _judged(found: Column, kind: str, chars: str, bits: float) -> Column:
-    """The part of each candidate whose windows reach the entropy, with its text as match, unless the allow list has it."""
-    letters = lambda m: F.filter(F.split(m, ""), lambda c: c != "")
+    """The parts of each candidate that hot windows cover, with their text as match."""
 
-    def candidate(x):
-        any_secret = x["match"].rlike("[0-9]") & ~x["match"].rlike(IDENTIFIER)
+    def secret(x):
         # Hexadecimal strings have a class of their own.
-        return any_secret & x["match"].rlike("[g-zG-Z]") if kind == "entropy_base64" else any_secret
-
-    places = F.transform(F.filter(found, candidate), lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), F.transform(letters(x["match"]), lambda c: F.instr(F.lit(chars), c) - 1).alias("index")))
-    parts = F.transform(places, lambda x: F.struct(x["start"].alias("start"), x["match"].alias("match"), hot_part(x["index"], len(chars), bits).alias("hot")))
-    hot = F.transform(F.filter(parts, lambda x: x["hot"]["first"].isNotNull()), lambda x: F.struct((x["start"] + x["hot"]["first"]).alias("start"), (x["start"] + x["hot"]["last"]).alias("end"), F.substr(x["match"], x["hot"]["first"] + 1, x["hot"]["last"] - x["hot"]["first"]).alias("match"), F.substr(x["match"], x["hot"]["best"] + 1, F.lit(WINDOW)).alias("best")))
+        return x["match"].rlike("[0-9]") & x["match"].rlike("[g-zG-Z]") if kind == "entropy_base64" else x["match"].rlike("[0-9]")
 
-    def wanted(x):
-        secret = x["match"].rlike("[0-9]") & ~x["best"].rlike(ALLOWED)
-        return secret & x["match"].rlike("[g-zG-Z]") if kind == "entropy_base64" else secret
-
-    return F.filter(hot, wanted)
+    letters = lambda m: F.filter(F.split(m, ""), lambda c: c != "")
+    split = F.transform(F.filter(found, lambda x: secret(x) & ~x["match"].rlike(IDENTIFIER)), lambda x: F.struct(x["start"].alias("start"), letters(x["match"]).alias("letters")))
+    places = F.transform(split, lambda x: F.struct(x["start"].alias("start"), x["letters"].alias("letters"), F.transform(x["letters"], lambda c: F.instr(F.lit(chars), c) - 1).alias("index")))
+    parts = F.transform(places, lambda x: F.struct(x["start"].alias("start"), x["letters"].alias("letters"), hot_parts(x["index"], x["letters"], len(chars), bits).alias("hot")))
+    spans = F.flatten(F.transform(parts, lambda x: F.transform(x["hot"], lambda h: F.struct((x["start"] + h["first"]).alias("start"), (x["start"] + h["last"]).alias("end"), F.array_join(F.slice(x["letters"], h["first"] + 1, h["last"] - h["first"]), "").alias("match")))))
+    return F.filter(spans, secret)
 
 
 def _outside(base: Column, extra: Column, fields: str) -> Column:
@@ -150,9 +148,9 @@ def _outside(base: Column, extra: Column, fields: str) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with spans: array<struct<start,rank,kind,end>> in order; rank is the kind's place in KINDS. Columns of docs with these names, or of working names that begin with _, give way."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    df = docs.withColumn("_t", t)
+    """docs with base_spans and spans: array<struct<start,rank,kind,end>> in order; rank is the kind's place in KINDS. Columns of docs with these two names give way."""
+    keep = [c for c in docs.columns if c not in ("base_spans", "spans")]
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep], F.lit(0).alias("_")).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     df = df.withColumn("_assign", F.when(F.col("_t").rlike("[:=]"), located(F.col("_t"), ASSIGN)).otherwise(_none()))
     df = df.withColumn("_access", F.when(F.col("_t").contains("AKIA"), located(F.col("_t"), ACCESS)).otherwise(_none()))
     df = df.withColumn("_hex", F.when(F.col("_t").rlike(HEX), located(F.col("_t"), HEX)).otherwise(_none()))
@@ -167,7 +165,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     extra = F.concat(*[F.col(f"_{k}") for k, _, _ in CLASSES])
     df = df.withColumn("_extra", F.when(F.size(extra) > 0, _outside(F.col("base_spans"), extra, "start:int,rank:int,kind:string,end:int")).otherwise(_named(_none(), 0)))
     df = df.withColumn("spans", F.array_sort(F.concat("base_spans", "_extra")))
-    return df.drop("_t", "_assign", "_access", "_hex", "_extra", *[f"_{k}" for k, _, _ in CLASSES])
+    return df.select(*[F.col("_row")[c].alias(c) for c in keep], "base_spans", "spans")
 
 
 def joined(spans: Column) -> Column:

@@ -21,7 +21,7 @@ m AS (
     list_sum(list_transform(list_filter(lines, lambda x: NOT (
         (length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g'))) * 100 > length(x) * {quality.RULES.symbol_percent}
         OR (length(x) - length(regexp_replace(x, '{quality.PUNCTUATION}', '', 'g'))) * 100 > length(x) * {quality.RULES.punctuation_percent}
-        OR length(x) >= {quality.RULES.long_line} AND NOT regexp_matches(x, '[.!?]')
+        OR length(x) >= {quality.RULES.long_line} AND NOT regexp_matches(x, '{quality.SENTENCE_END}')
         OR length(x) <= {quality.RULES.short_line} AND (regexp_matches(lower(x), '{quality.NAVIGATION_LINE}') OR regexp_matches(lower(x), '{quality.BOILERPLATE}')))), lambda x: length(regexp_replace(x, '{_WS}', '', 'g')))) AS left_chars
   FROM w LEFT JOIN rep USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
@@ -75,9 +75,11 @@ cand AS (SELECT row_number() OVER () AS cid, *, CASE kind {chars} END AS chars F
 win AS (SELECT cid, i, unnest(string_split(substr(match, i + 1, {secrets.WINDOW}), '')) AS ch FROM cand, LATERAL (SELECT unnest(range(0, length(match) - {secrets.WINDOW - 1})) AS i)),
 cnt AS (SELECT cid, i, ch, count(*) AS c FROM win GROUP BY ALL),
 ent AS (SELECT cid, i, sum({logs}[c + 1]) AS total FROM cnt GROUP BY ALL),
-hot AS (SELECT cid, min(i) AS a, max(i) + {secrets.WINDOW} AS b, arg_min(i, total * 4294967296 + i) AS w FROM ent JOIN cand USING (cid) WHERE total <= CASE kind {limits} END GROUP BY cid),
-extra AS (SELECT rid, rank, kind, start + a AS start, start + b AS stop, substr(match, a + 1, b - a) AS part, substr(match, w + 1, {secrets.WINDOW}) AS best FROM hot JOIN cand USING (cid)),
-more AS (SELECT rid, rank, kind, start, stop FROM extra e WHERE regexp_matches(part, '[0-9]') AND NOT regexp_matches(best, '{q(secrets.ALLOWED)}') AND (rank = 3 OR regexp_matches(part, '[g-zG-Z]')) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start <= e.start AND b.stop >= e.stop)),
+hot AS (SELECT cid, i, i - lag(i) OVER (PARTITION BY cid ORDER BY i) AS step FROM ent JOIN cand USING (cid) WHERE total <= CASE kind {limits} END AND NOT regexp_matches(substr(match, i + 1, {secrets.WINDOW}), '{q(secrets.ALLOWED)}')),
+run AS (SELECT cid, i, count(*) FILTER (step > {secrets.WINDOW}) OVER (PARTITION BY cid ORDER BY i) AS run FROM hot),
+part AS (SELECT cid, min(i) AS a, max(i) + {secrets.WINDOW} AS b FROM run GROUP BY cid, run),
+extra AS (SELECT rid, rank, kind, start + a AS start, start + b AS stop, substr(match, a + 1, b - a) AS part FROM part JOIN cand USING (cid)),
+more AS (SELECT rid, rank, kind, start, stop FROM extra e WHERE regexp_matches(part, '[0-9]') AND (rank = 3 OR regexp_matches(part, '[g-zG-Z]')) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = e.rid AND b.start <= e.start AND b.stop >= e.stop)),
 a AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS b FROM base GROUP BY rid),
 z AS (SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY rid)

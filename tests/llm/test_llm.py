@@ -194,12 +194,17 @@ def entropy_spans(text, base):
     for rank, (kind, chars, bits) in enumerate(secrets.CLASSES, start=3):
         for m in re.finditer(f"[{re.escape(chars)}]{{20,}}", text):
             entropy = [round(float(-sum(c / 20 * np.log2(c / 20) for c in np.unique(list(m[0][k : k + 20]), return_counts=True)[1])), 5) for k in range(len(m[0]) - 19)]
-            hot = [k for k, e in enumerate(entropy) if e >= bits - 1e-6]
-            if hot and not re.search(secrets.IDENTIFIER, m[0]):
-                best = m[0][entropy.index(max(entropy)) :][:20]
-                a, b = m.start() + hot[0], m.start() + hot[-1] + 20
+            hot = [k for k, e in enumerate(entropy) if e >= bits - 1e-6 and not re.search(secrets.ALLOWED, m[0][k : k + 20])]
+            runs = []
+            for k in hot:
+                if runs and k <= runs[-1][1]:
+                    runs[-1][1] = k + 20
+                else:
+                    runs.append([k, k + 20])
+            for x, y in runs if not re.search(secrets.IDENTIFIER, m[0]) else ():
+                a, b = m.start() + x, m.start() + y
                 part = text[a:b]
-                if re.search("[0-9]", part) and not re.search(secrets.ALLOWED, best) and (rank == 3 or re.search("[g-zG-Z]", part)) and not any(x <= a and b <= y for x, _, _, y in base):
+                if re.search("[0-9]", part) and (rank == 3 or re.search("[g-zG-Z]", part)) and not any(x <= a and b <= y for x, _, _, y in base):
                     out.append((a, rank, kind, b))
     return out
 
@@ -228,6 +233,17 @@ def test_secret_entropy_against_every_window(spark):
     assert recall > 0.9 and not any(f for f, k in zip(found, planted, strict=True) if k == 5)
 
 
+def test_harmless_parts_hide_nothing(spark):
+    """An ordered alphabet has the greatest entropy there is; the key behind it is a span all the same, and several keys are several."""
+    key, other = "Zx9Q2mPf7LkT4vRw8sBnQw3E", "b7YtR4eWq9LzXc2VmN8kJh5G"
+    texts = [f"path/0123456789abcdefghijklmnop/{key}", f"https://host/ABCDEFGHIJ0123456789/{key}", f"path/{key}", "path/0123456789abcdefghijklmnop", f"{key}/{'z' * 60}/{other}"]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("_t", F.lit(1)).withColumn("spans", F.lit(2)).withColumn("_hex", F.lit(3))).orderBy("doc_id").collect()
+    assert [(r._t, r._hex) for r in rows] == [(1, 3)] * 5
+    found = [[t[x.start : x.end] for x in r.spans] for r, t in zip(rows, texts, strict=True)]
+    assert all(any(key in x for x in f) for f in found[:3]) and [len(f) for f in found] == [1, 1, 1, 0, 2]
+    assert key in found[4][0] and other in found[4][1]
+
+
 def test_secrets_in_very_long_texts(spark):
     import time
 
@@ -505,6 +521,44 @@ def test_quality_line_rules(spark):
     assert [r.fails for r in rows] == [True] * len(bad) + [False] * len(good)
 
 
+def test_quality_of_other_scripts(spark):
+    """Long lines whose sentences end as their scripts end them stay; an endless line goes in any of them."""
+    said = {"zh": "这是一个关于软件工程的段落，它讨论模块之间的关系。", "hi": "यह एक वाक्य है और यह बहुत लंबा नहीं है। ", "ar": "هذه جملة عن هندسة البرمجيات؟ ", "am": "ይህ ዓረፍተ ነገር ነው። ", "th": "ข้อความนี้ไม่มีเครื่องหมายจบประโยค ", "my": "ဒီစာကြောင်းက ရှည်တယ်။ ", "en": "This sentence ends. "}
+    rows = [(k, " ".join(f"w{i}" for i in range(30)) + ".\n" + "".join(f"{s}{i} " for i in range(60))) for k, s in said.items()] + [("endless", " ".join(f"w{i}" for i in range(30)) + ".\n" + "字" * 1200)]
+    got = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k for k, t in rows if got.get(k) == t} == set(said)
+
+
+def test_a_filter_on_measures_ends(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 97}" for j in range(400))) for i in range(200)], "doc_id long, text string")
+    import time
+
+    began = time.time()
+    quality.measure(docs).filter("NOT base_failed AND NOT kept").count()
+    quality.measure(docs).filter("n_repeat_words > 3 AND n_dup_lines = 0").select("doc_id").count()
+    assert time.time() - began < 60
+
+
+def test_long_runs_take_linear_time():
+    """A million digits, and a hundred thousand notices."""
+    import time
+
+    began = time.time()
+    digits = "7" * 1_000_000
+    assert pii.base_spans(digits) == [[], [], [], []] and pii.candidates(digits, pii.base_spans(digits)) == []
+    assert pii.base_spans("1" * 300_000 + ".2.3.4 x 1.2.3.4.5.6.7.8.9")[1] == [(300_009, 300_016), (300_017, 300_024)]
+    assert pii.base_spans("1.2.3.4.5.6.7.8 999.1.1.1")[1] == [(0, 7), (8, 15)]
+    assert time.time() - began < 20
+
+
+def test_many_notices(spark):
+    import time
+
+    began = time.time()
+    r = licenses.scan(spark.createDataFrame([(1, "Under the MIT license. " * 100_000)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (400_000, 100_000, 0, 399_996) and time.time() - began < 60
+
+
 def test_suffix_dedup(docs, corpus, empty):
     count, length = {}, 400
     for _, t, *_ in corpus:
