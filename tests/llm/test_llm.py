@@ -523,7 +523,7 @@ def test_quality_line_rules(spark):
 
 def test_quality_of_other_scripts(spark):
     """Long lines whose sentences end as their scripts end them stay; an endless line goes in any of them."""
-    said = {"zh": "这是一个关于软件工程的段落，它讨论模块之间的关系。", "hi": "यह एक वाक्य है और यह बहुत लंबा नहीं है। ", "ar": "هذه جملة عن هندسة البرمجيات؟ ", "am": "ይህ ዓረፍተ ነገር ነው። ", "th": "ข้อความนี้ไม่มีเครื่องหมายจบประโยค ", "my": "ဒီစာကြောင်းက ရှည်တယ်။ ", "en": "This sentence ends. "}
+    said = {"zh": "这是一个关于软件工程的段落，它讨论模块之间的关系。", "hi": "यह एक वाक्य है। ", "ar": "هذه جملة عن هندسة البرمجيات؟ ", "am": "ይህ ዓረፍተ ነገር ነው። ", "th": "ข้อความนี้ไม่มีเครื่องหมายจบประโยค ", "my": "ဒီစာကြောင်းက ရှည်တယ်။ ", "en": "This sentence ends. "}
     rows = [(k, " ".join(f"w{i}" for i in range(30)) + ".\n" + "".join(f"{s}{i} " for i in range(60))) for k, s in said.items()] + [("endless", " ".join(f"w{i}" for i in range(30)) + ".\n" + "字" * 1200)]
     got = {r.doc_id: r.text for r in quality.clean(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert {k for k, t in rows if got.get(k) == t} == set(said)
