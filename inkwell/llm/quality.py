@@ -58,6 +58,7 @@ class Rules:
 
 
 RULES = Rules()
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines_removed", "left_chars", "cleaned", "base_failed", "kept")
 SYMBOLS = "[#*$%&|<>]"
 #: What ends a sentence in Latin, Greek, Cyrillic, Chinese, Japanese, Arabic, Urdu, Syriac, Armenian, Ethiopic, Devanagari, Tibetan, Burmese,
 #: Khmer, Mongolian and other scripts; and the letters of Thai and Lao, which end sentences by spaces.
@@ -108,9 +109,11 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFr
     df = df.withColumn("left_chars", F.length(F.regexp_replace("cleaned", "[\\x20\\x09-\\x0D]", "")).cast("long"))
     df = df.withColumn("n_lines_removed", (F.size("_lines") - F.size("_kept_lines")).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.repeat_percent))
-    # A filter on the measures would be pushed below them and compute them over and over; past a pinned column it is not.
-    df = df.withColumn("kept", pinned(~F.col("base_failed") & (F.col("left_chars") * 100 >= F.col("word_chars") * rules.least_left_percent)))
-    return df.drop("_lines", "_kept_lines", "_words", "_full", "_h", "_sorted", "_twice", "_starts")
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") * 100 >= F.col("word_chars") * rules.least_left_percent))
+    # A filter on measures would be pushed below them and have them computed over and over; it does not get past a pinned column.
+    keep = [c for c in docs.columns if c not in MEASURES and not c.startswith("_")] + [c for c in docs.columns if c in ("_row", "_text")]
+    df = df.select(*[F.col(f"`{c}`") for c in keep], pinned(F.struct(*MEASURES)).alias("_m"))
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_m.{c}").alias(c) for c in MEASURES])
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
