@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import best, each, gathered, ngrams, numbered, round6
+from ..functions.shared import kept, small_batches
 from . import textrank, tfidf
 
 TFIDF_WEIGHT, RANK_WEIGHT, MOST = 0.6, 0.4, 50
@@ -53,6 +54,7 @@ def _each(docs: DataFrame, doc: str, tokens: str, concepts_of) -> DataFrame:
     def run(batches):
         return gathered(rows(batches), names)
 
+    small_batches(docs.sparkSession)
     names = [doc, "word", "tfidf_score", "textrank_score", "frequency", "combined_score", "rank"]
     kinds = "string, double, double, long, double, int".split(", ")
     return docs.select(doc, tokens).mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in zip(names[1:], kinds, strict=True)))
@@ -78,6 +80,7 @@ def extract_corpus(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens",
 
     The k best terms of the vocabulary count even at score 0: a document with fewer takes the first of the others.
     """
+    docs = kept(docs.select(doc, tokens))  # texts are tokenised once
     vocab = sorted((r.term, r.idf) for r in tfidf.fit_vocabulary(docs, 3 * k, doc, tokens)[0].collect())
     if ranked is not None:
         return _extract_by_joins(docs, doc, tokens, k, ranked, weights, vocab)

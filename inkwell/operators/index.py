@@ -8,6 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.arrays import gathered, numbered
+from ..functions.shared import small_batches
 from .term_table import TermTable
 
 
@@ -36,6 +37,7 @@ def build(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataF
     def run(batches):
         return gathered(rows(batches), ["term", doc, "frequency", "positions"])
 
+    small_batches(docs.sparkSession)
     return docs.select(doc, tokens).mapInArrow(run, f"term string, `{doc}` {docs.schema[doc].dataType.simpleString()}, frequency long, positions array<int>")
 
 

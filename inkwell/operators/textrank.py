@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from ..functions.arrays import best, each, gathered, lists_of, round6
-from ..functions.shared import forget, kept
+from ..functions.shared import forget, kept, small_batches
 
 WINDOW, DAMPING, ROUNDS, CLOSE, TOP = 4, 0.85, 100, 1e-4, 20
 #: Edges in an Arrow batch.
@@ -52,6 +52,7 @@ def edges(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens", window:
     def run(batches):
         return gathered(rows(batches), [doc, "src", "dst", "w"])
 
+    small_batches(docs.sparkSession)
     return docs.select(doc, tokens).mapInArrow(run, f"`{doc}` {docs.schema[doc].dataType.simpleString()}, src string, dst string, w double")
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.arrays import each, lists_of
-from ..functions.shared import kept
+from ..functions.shared import kept, small_batches
 from ..functions.text import ngrams
 
 MAX_FEATURES, MIN_DF = 500, 1
@@ -49,6 +49,7 @@ def _best(tf: np.ndarray, k: int, sublinear: bool) -> np.ndarray:
 def with_top(df: DataFrame, k: int = MAX_FEATURES, tokens: str = "tokens", to: str = "top", sublinear: bool = True, with_bigrams: bool = True) -> DataFrame:
     """df with its k best terms: array<struct<minus, term, tf>> in order, minus being the score's negative. A document's terms are counted where its row lies; nothing is shuffled."""
     terms = ngrams(F.col(tokens)) if with_bigrams else F.col(tokens)
+    small_batches(df.sparkSession)
     rows = df.drop(to).withColumn("_terms", terms)
     schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("_t array<string>, _n array<bigint>, _all bigint").fields])
 
@@ -98,6 +99,7 @@ def vocabulary_counts(docs: DataFrame, vocab: DataFrame, doc: str = "doc_id", to
 
 def _sketched(docs: DataFrame, tokens: str, with_bigrams: bool, capacity: int) -> DataFrame:
     """(term, n, lost): for each partition, terms and a count of its documents that hold them, at most capacity of them; counts are short by lost at most, and so is 0 for terms left out."""
+    small_batches(docs.sparkSession)
     terms = ngrams(F.col(tokens)) if with_bigrams else F.col(tokens)
 
     def run(batches):
