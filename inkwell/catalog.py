@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import text as t
 from .functions.shared import kept, shared_dir, spread
-from .functions.words import STOP_CODE, STOP_EN, STOP_KO
+from .functions.words import STOP_CODE, STOP_EN, STOP_KO, WEAK_SUBJECTS
 from .operators import chapters, concepts, index, layout, quiz, scores, sentences, similarity, store, textrank, tfidf
 from .operators.term_table import TermTable
 
@@ -684,12 +684,15 @@ OX_SAMPLES = (*LECTURE, "① 모듈화는 시스템을 작은 단위로 나누
     "모듈화는 myClassName 아니라 MyClass: 형태로 시스템을 나눈다.", "모듈화는 시스템: 단위, 크기 등으로 나누어 관리하는 방법이다.", "3 모듈화는 시스템을 작은 단위로 나누어 관리하는 방법이다.", "모듈화는 가나다라마바사아자차카타파 단위로 나누는 방법이다.")
 
 
-@query("WITH r(r) AS (VALUES " + ", ".join(f"('{x}')" for x in OX_SAMPLES) + rf"""), s AS (SELECT r, regexp_replace(trim(r, {_SPACES}), '^[·\-•①②③④⑤⑥⑦⑧⑨⑩() \t]+', '') AS s FROM r), e AS (SELECT *, regexp_replace(s, '\s+\z', '') AS e FROM s)
-SELECT r AS sentence, length(s) >= 20 AND NOT regexp_matches(e, '[?？]\z') AND NOT regexp_matches(s, '^({'|'.join(quiz.PROPERTIES)})') AND NOT regexp_matches(e, '[\d\-]{{1,5}}[\.\)]?\s*\z')
+_FITS_OX = rf"""s AS (SELECT {{KEYS}}r, regexp_replace(trim(r, {_SPACES}), '^[·\-•①②③④⑤⑥⑦⑧⑨⑩() \t]+', '') AS s FROM r), e AS (SELECT *, regexp_replace(s, '\s+\z', '') AS e FROM s)
+SELECT {{KEYS}}r AS sentence, length(s) >= 20 AND NOT regexp_matches(e, '[?？]\z') AND NOT regexp_matches(s, '^({'|'.join(quiz.PROPERTIES)})') AND NOT regexp_matches(e, '[\d\-]{{1,5}}[\.\)]?\s*\z')
   AND len(regexp_extract_all(s, '[가-힣]')) >= 6 AND len(regexp_extract_all(s, '[^가-힣A-Za-z0-9\s①②③④⑤⑥⑦⑧⑨⑩]')) / length(s) <= 0.35 AND len(string_split_regex(trim(s, {_SPACES}), '\s+')) >= 3
   AND NOT {_contains('s', quiz.ANSWER_KEYS + quiz.ANSWER_KEYS_SPACED)} AND NOT {_contains('substr(s, 1, 20)', quiz.OPENERS)} AND NOT regexp_matches(s, '^({'|'.join(quiz.OPENERS)})')
   AND NOT regexp_matches(s, '(하시오|쓰시오|설명하시오|구하시오|답하시오|나열하시오|서술하시오)[.。]?\s*\z') AND NOT {_contains('s', quiz.CODE_OX)} AND NOT regexp_matches(s, '[A-Z][a-z]+[A-Z][\w가-힣]*:')
-  AND NOT regexp_matches(s, '[\w가-힣]+\s*:\s+[\w가-힣]+,\s*[\w가-힣]+') AND NOT regexp_matches(s, '^\s*\d') AND NOT regexp_matches(s, '[가-힣]{{12,}}') AS fits FROM e""")
+  AND NOT regexp_matches(s, '[\w가-힣]+\s*:\s+[\w가-힣]+,\s*[\w가-힣]+') AND NOT regexp_matches(s, '^\s*\d') AND NOT regexp_matches(s, '[가-힣]{{12,}}') AS fits"""
+
+
+@query("WITH r(r) AS (VALUES " + ", ".join(f"('{x}')" for x in OX_SAMPLES) + f"), {_FITS_OX.replace('{KEYS}', '')} FROM e")
 def ox_candidates_inline(spark, d):
     return spark.createDataFrame([(s,) for s in OX_SAMPLES], "sentence string").select("sentence", quiz.fits_ox(F.col("sentence")).alias("fits"))
 
@@ -711,6 +714,80 @@ def session_score(spark, d):
     return graded.select("session_id", "total", "correct", "wrong_count", "accuracy", F.greatest(F.size("wrong_keywords"), F.lit(0)).alias("n_wrong"))
 
 
+# Korean: the documents' own texts, each small letter written as a syllable. Capitals stay, so that texts are mixed.
+
+SYLLABLES = "가넌다림마반사은재차칸타팔하거녹더련머벗서엄저청커튼"
+_KOREAN_DOCS = f"(SELECT doc_id, source, translate(text, 'abcdefghijklmnopqrstuvwxyz', '{SYLLABLES}') AS text FROM documents)"
+_KD = _tok(_KOREAN_DOCS, "doc_id", "d", ", source AS subject")
+
+
+def korean_docs(spark, d):
+    texts = spread(table(spark, d, "documents").select("doc_id", F.translate("text", "abcdefghijklmnopqrstuvwxyz", SYLLABLES).alias("text"), F.col("source").alias("subject")))
+    return tokened(texts)
+
+
+@query(f"SELECT doc_id, translate(translate(text, '{t.NARROW.replace(chr(39), chr(39) * 2)}', '{t.WIDE.replace(chr(39), chr(39) * 2)}'), '{t.WIDE.replace(chr(39), chr(39) * 2)}', '{t.NARROW.replace(chr(39), chr(39) * 2)}') AS narrow FROM documents")
+def fullwidth_docs(spark, d):
+    """Texts written in full-width characters, made narrow again."""
+    return table(spark, d, "documents").select("doc_id", t.narrow(F.translate("text", t.NARROW, t.WIDE)).alias("narrow"))
+
+
+@query(f"WITH {_KD} SELECT doc_id, normal, language, array_to_string(tokens, ' ') AS tokens FROM d")
+def tokenize_ko(spark, d):
+    return korean_docs(spark, d).select("doc_id", "normal", "language", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"""WITH {_KD}, w AS (SELECT DISTINCT unnest(tokens) AS word FROM d)
+SELECT word, CASE WHEN unicode(right(word, 1)) < 44032 OR (unicode(right(word, 1)) - 44032) % 28 > 0 THEN '은' ELSE '는' END AS particle FROM w""")
+def particles_ko(spark, d):
+    words = korean_docs(spark, d).select(F.explode("tokens").alias("word")).distinct()
+    return words.select("word", t.particle(F.col("word")).alias("particle"))
+
+
+#: Sentences of these texts, numbered.
+_KS = rf"ks AS (SELECT doc_id, (generate_subscripts(x, 1) - 1)::INTEGER AS idx, unnest(x) AS r FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(normal, '[.]\s|\n'), lambda p: trim(p, {_SPACES})), lambda p: p <> '') AS x FROM dl))"
+
+
+def korean_sentences(spark, d):
+    parts = F.filter(F.transform(F.split("normal", r"[.]\s|\n", -1), lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r"))), lambda p: p != "")
+    return korean_docs(spark, d).select("doc_id", F.posexplode(parts).alias("idx", "r"))
+
+
+@query(f"WITH {_KD}, {_KS}, r AS (SELECT * FROM ks), {_FITS_OX.replace('{KEYS}', 'doc_id, idx, ')} FROM e")
+def ox_candidates(spark, d):
+    return korean_sentences(spark, d).select("doc_id", "idx", F.col("r").alias("sentence"), quiz.fits_ox(F.col("r")).alias("fits"))
+
+
+#: Every third of them as a row of a table: a number, an English name and what it means.
+_ROWS = "CASE WHEN idx % 3 = 1 THEN idx || ' Term ' || r ELSE r END"
+
+
+@query(rf"""WITH {_KD}, {_KS}, p AS (SELECT doc_id, idx, {_ROWS} AS p FROM ks), w AS (SELECT *, string_split(regexp_replace(p, '\s+', ' ', 'g'), ' ') AS w FROM p),
+s AS (SELECT doc_id, idx, p, len(w) AS n, w[1] AS a, w[2] AS b, array_to_string(w[2:], ' ') AS one, array_to_string(w[3:], ' ') AS two FROM w WHERE regexp_matches(p, '^(?:[가-힣]{{2,6}}|[0-9]+)\s') AND len(w) >= 3),
+x AS (SELECT doc_id, idx, CASE WHEN regexp_matches(a, '^[가-힣]{{2,6}}$') AND NOT list_contains({_list(WEAK_SUBJECTS)}, a)
+    THEN CASE WHEN length(one) >= 8 AND regexp_matches(one, '[가-힣]{{3}}') THEN a || CASE WHEN (unicode(right(a, 1)) - 44032) % 28 > 0 THEN '은' ELSE '는' END || ' ' || one || '.' END
+  WHEN regexp_matches(a, '^[0-9]+$') AND n >= 4 AND regexp_matches(b, '^[A-Za-z]{{3,20}}$') THEN CASE WHEN length(two) >= 8 AND regexp_matches(two, '[가-힣]{{3}}') THEN b || '은(는) ' || two || '.' END END AS sentence FROM s)
+SELECT doc_id, idx, sentence FROM x WHERE length(sentence) BETWEEN 20 AND 150""")
+def table_rows_ko(spark, d):
+    row = F.when(F.col("idx") % 3 == 1, F.concat("idx", F.lit(" Term "), "r")).otherwise(F.col("r"))
+    return korean_sentences(spark, d).select("doc_id", "idx", sentences.table_sentence(row).alias("sentence")).filter("sentence IS NOT NULL")
+
+
+#: Some of them as headings and as circled items.
+_OUTLINE = "CASE idx % 5 WHEN 0 THEN (idx + 1) || '. ' || substr(r, 1, 40) WHEN 1 THEN r WHEN 2 THEN '① ' || r ELSE '② ' || r END"
+
+
+@query(rf"""WITH {_KD}, {_KS}, l AS (SELECT doc_id, idx, {_OUTLINE} AS line FROM ks),
+h AS (SELECT *, CASE WHEN length(line) <= 80 AND NOT contains(line, ':') AND regexp_matches(line, '^\d[\d\-\.]*[\.\s]+') AND regexp_matches(line, '[가-힣]{{2}}') THEN substr(trim(regexp_replace(line, '^\d[\d\-\.]*[\.\s]+', ''), {_SPACES}), 1, 30) END AS h FROM l),
+s AS (SELECT doc_id, idx, line, last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx) AS section FROM h)
+SELECT doc_id, idx, section, CASE WHEN regexp_matches(line, '^[①-⑩]') AND coalesce(section, '') <> '' THEN section || ' ' || line ELSE line END AS titled FROM s""")
+def sections_ko(spark, d):
+    """Headings carried to the items below them."""
+    r, kind = F.col("r"), F.col("idx") % 5
+    line = F.when(kind == 0, F.concat(F.col("idx") + 1, F.lit(". "), F.substring(r, 1, 40))).when(kind == 1, r).when(kind == 2, F.concat(F.lit("① "), r)).otherwise(F.concat(F.lit("② "), r))
+    return sentences.with_sections(korean_sentences(spark, d).select("doc_id", "idx", line.alias("line"))).select("doc_id", "idx", "section", "titled")
+
+
 # Scores and reports.
 
 

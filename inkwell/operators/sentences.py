@@ -10,7 +10,7 @@ exploded or shuffled, and a document stays in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import particle, pinned, strip
 from ..functions.words import WEAK_SUBJECTS
@@ -118,6 +118,14 @@ def split_sentences(df: DataFrame, text: str = "normal", to: str = "sentences")
     return df.withColumn(to, pinned(F.transform("_firsts", lambda i: F.element_at("_all", i)))).drop("_keys", "_firsts", "_p", "_h", "_names", "_at", "_parts", "_body", "_rows", "_all")
 
 
+def with_sections(lines: DataFrame, doc: str = "doc_id", idx: str = "idx", line: str = "line") -> DataFrame:
+    """lines with section, the name of the last heading up to each, and titled: circled items after that name. For texts that lie line by line; split_sentences() does the same in one row."""
+    so_far = W.partitionBy(doc).orderBy(idx).rowsBetween(W.unboundedPreceding, W.currentRow)
+    named = lines.withColumn("section", F.last(F.when(is_heading(F.col(line)), section_name(F.col(line))), ignorenulls=True).over(so_far))
+    item = F.col(line).rlike("^" + CIRCLED) & (F.coalesce("section", F.lit("")) != "")
+    return named.withColumn("titled", F.when(item, F.concat_ws(" ", "section", line)).otherwise(F.col(line)))
+
+
 def with_keywords(sentences: Column, keywords: Column) -> Column:
     """Whether each sentence holds one of the keywords."""
     return F.transform(sentences, lambda s: F.exists(keywords, lambda k: s.contains(k)))
