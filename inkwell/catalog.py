@@ -18,6 +18,7 @@ from .functions.shared import kept, shared_dir, spread
 from .functions.words import STOP_CODE, STOP_EN, STOP_KO, WEAK_SUBJECTS
 from .operators import chapters, concepts, index, layout, quiz, scores, sentences, similarity, store, textrank, tfidf
 from .operators.term_table import TermTable
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -854,6 +855,22 @@ def doc_report(spark, d):
     return reported(spark, d).select("doc_id", "title", "session_count", "best_score", "avg_score", "total_score", "passed", "grade")
 
 
+@query(f"""WITH {_H}, s AS (SELECT doc_id, count(*) AS n, max(total_score) AS best, round(avg(total_score), 1) AS av FROM h GROUP BY doc_id), l AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY measured_at DESC, id DESC) = 1)
+SELECT d.doc_id, 'doc ' || d.doc_id AS title, coalesce(n, 0) AS session_count, coalesce(best, 0.0) AS best_score, coalesce(av, 0.0) AS avg_score, coalesce(total_score, 0.0) AS total_score, coalesce(total_score >= 60, false) AS passed,
+CASE WHEN n IS NULL THEN 'F' ELSE {_GRADE.format('total_score')} END AS grade FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN l USING (doc_id)""")
+def live_report(spark, d):
+    """doc_report from a stream of the same events, by state."""
+    path = f"{d}/events.parque[t]"  # a pattern: a stream takes a folder or a pattern, and the table may be one file
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(path)
+    stream = events.select(F.col("event_id").alias("id"), F.col("user_id").alias("doc_id"), F.round(F.least("value", F.lit(100.0)), 2).alias("total_score"), F.col("ts").alias("measured_at"))
+    root = f"{shared_dir(spark)}/inkwell-live-{uuid.uuid4().hex}"
+    live.keep_live(stream, f"{root}/rows", f"{root}/state").awaitTermination()
+    titles = table(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id")).alias("title"))
+    out = titles.join(live.read_live(spark, f"{root}/rows"), "doc_id", "left")
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("best_score", "avg_score", "total_score")]
+    return out.select("doc_id", "title", F.coalesce("session_count", F.lit(0).cast("long")).alias("session_count"), *zero, F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("grade", F.lit("F")).alias("grade"))
+
+
 @query(f"""WITH {_D}, {_counts('d', 'c')}, {_SINGLE}, {_TOP10}, {_H}, l AS (SELECT doc_id, chapter FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY measured_at DESC, id DESC) = 1),
 k AS (SELECT top.doc_id, count(*) AS n, count(*) FILTER (l.chapter IS NULL OR term <> l.chapter) AS covered_count, max(CASE WHEN l.chapter IS NULL THEN 0 ELSE 1 END)::BIGINT AS missing_count FROM top LEFT JOIN l USING (doc_id) WHERE rank <> 3 GROUP BY top.doc_id)
 SELECT doc_id, covered_count, missing_count, greatest(n - covered_count - missing_count, 0)::BIGINT AS partial_count, CASE WHEN missing_count > 0 THEN round(covered_count / n * 100, 2) ELSE 0.0 END AS coverage_score FROM k""")
