@@ -54,6 +54,29 @@ def parse_time(c: Column) -> Column:
     return F.try_to_timestamp(F.nullif(F.trim(c), F.lit("")), F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz")
 
 
+def decode(table: str, rows: DataFrame) -> DataFrame:
+    """Rows of text, as they lie outside, in a table's types: 0 and 1 as booleans, ISO times, JSON lists, numbers.
+
+    What cannot be read, and a value outside its column's domain, becomes null; columns that are missing are null, others are left out.
+    """
+    out = []
+    for f in T._parse_datatype_string(SCHEMAS[table]).fields:
+        kind = f.dataType
+        c = F.col(f.name).cast("string") if f.name in rows.columns else F.lit(None).cast("string")
+        if isinstance(kind, T.BooleanType):
+            c = F.when(F.trim(c).isin("1", "true"), True).when(F.trim(c).isin("0", "false"), False)
+        elif isinstance(kind, T.TimestampNTZType):
+            c = parse_time(c)
+        elif isinstance(kind, T.ArrayType):
+            c = F.from_json(c, kind)
+        elif not isinstance(kind, T.StringType):
+            c = c.try_cast(kind)
+        elif (table, f.name) in DOMAINS:
+            c = F.when(c.isin(*DOMAINS[table, f.name]), c)
+        out.append(c.alias(f.name))
+    return rows.select(*out)
+
+
 def cascade(tables: dict[str, DataFrame], table: str, gone: DataFrame, key: dict[str, str] | None = None, refers: dict | None = None) -> dict[str, DataFrame]:
     """tables without the rows of table whose key is in gone, and without all rows that refer to them, by anti joins down the references."""
     refers = REFERS if refers is None else refers
@@ -133,8 +156,8 @@ class Store:
         if table == "subjects" and not df.filter(F.coalesce(F.trim("name"), F.lit("")) == "").isEmpty():
             raise ValueError("a subject needs a name")
 
-    def _frame(self, table: str, rows: DataFrame | list[dict]) -> DataFrame:
-        """rows with defaults and times, without ids."""
+    def _frame(self, table: str, rows: DataFrame | list[dict], ids: Column | None = None) -> DataFrame:
+        """rows with defaults and times, without ids unless they have them."""
         fields = T._parse_datatype_string(SCHEMAS[table]).fields
         if isinstance(rows, list):
             given = set().union(*rows)
@@ -159,10 +182,20 @@ class Store:
         for name in ("name", "word"):
             if name in rows.columns:
                 rows = rows.withColumn(name, F.trim(name))
-        return rows.drop("id")
+        return rows if ids is not None else rows.drop("id")
 
     def _numbered(self, table: str, rows: DataFrame) -> tuple[str, int]:
         """The folder of new rows with ids, and how many they are. Rows are written before they are numbered, so that numbers and rows cannot part."""
+        numbered, n, stage = self._with_ids(table, rows)
+        folder = self._write(table, numbered)
+        self._fs.delete(self._path(stage), True)
+        return folder, n
+
+    def with_ids(self, table: str, rows: DataFrame) -> DataFrame:
+        """rows with the ids that an insert would give them, and all their columns; change(numbered=...) appends them."""
+        return self._with_ids(table, rows)[0]
+
+    def _with_ids(self, table: str, rows: DataFrame) -> tuple[DataFrame, int, str]:
         top = self.read(table).agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         stage = f"{self.root}/stage-{uuid.uuid4().hex}"
         # Ids follow the order of rows within partitions: no row leaves its partition to be numbered.
@@ -176,12 +209,10 @@ class Store:
             n += counts[p]
         offsets = F.broadcast(self.spark.createDataFrame(starts, "_p long, _from long"))
         numbered = staged.withColumn("_p", part).join(offsets, "_p").withColumn("id", F.lit(top) + F.col("_from") + F.col("_m").bitwiseAND((1 << 33) - 1) + 1)
-        folder = self._write(table, numbered)
-        self._fs.delete(self._path(stage), True)
-        return folder, n
+        return numbered.drop("_p", "_from", "_m"), n, stage
 
-    def change(self, versions: dict[str, DataFrame] | None = None, added: dict[str, DataFrame | list[dict]] | None = None) -> dict[str, int]:
-        """New versions of tables and rows to append, of one table or several; all turn over at once. How many rows each table got."""
+    def change(self, versions: dict[str, DataFrame] | None = None, added: dict[str, DataFrame | list[dict]] | None = None, numbered: dict[str, DataFrame] | None = None) -> dict[str, int]:
+        """New versions of tables and rows to append, of one table or several; all turn over at once. numbered rows have their ids, from with_ids. How many rows each added table got."""
         if POSTINGS in {**(versions or {}), **(added or {})}:
             raise ValueError("postings are changed by replace_postings")
         before, changes, n = self._folders(), {}, {}
@@ -192,6 +223,8 @@ class Store:
             if not isinstance(rows, list) or rows:
                 folder, n[table] = self._numbered(table, self._frame(table, rows))
                 changes[table] = changes.get(table, before[table]) + [folder]
+        for table, df in (numbered or {}).items():
+            changes[table] = changes.get(table, before[table]) + [self._write(table, self._frame(table, df, df["id"]))]
         self._publish(changes, before)
         return n
 

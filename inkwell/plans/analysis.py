@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as t
 from ..operators import chapters, concepts, index, layout, sentences, textrank
+from ..operators.store import Store
 from ..sources import files
 
 
@@ -51,6 +52,25 @@ def analyse(docs: DataFrame, doc: str = "doc_id", requested: str = "ko", k: int
     }
 
 
+def save(store: Store, docs: DataFrame, subject_id: int, doc: str = "doc_id", requested: str = "ko", k: int = concepts.MOST) -> DataFrame:
+    """Analyse docs (doc, text; title and file_path if they have them) and keep it all: documents, their keywords, their postings. (doc, id) of the documents.
+
+    Documents and keywords turn over together; postings follow, a part at a time. A title that ends in .pdf or .txt names the kind; other texts were typed.
+    """
+    for name, value in (("title", F.col(doc).cast("string")), ("file_path", F.lit(None).cast("string"))):
+        docs = docs if name in docs.columns else docs.withColumn(name, value)
+    kind = F.when(F.lower("title").endswith(".pdf"), "pdf").when(F.lower("title").endswith(".txt"), "txt").otherwise("text")
+    tables = analyse(docs, doc, requested, k)
+    rows = tables["documents"].select(F.col(doc).alias("_doc"), "language", F.col("text").alias("content")).join(docs.select(F.col(doc).alias("_doc"), "title", "file_path", kind.alias("source_type")), "_doc")
+    rows = store.with_ids("documents", rows.withColumn("subject_id", F.lit(subject_id).cast("long")))
+    ids = rows.select(F.col("_doc").alias(doc), F.col("id").alias("document_id"))
+    keywords = tables["keywords"].join(ids, doc).select("document_id", "word", "tfidf_score", "textrank_score", F.col("frequency").cast("int").alias("frequency"))
+    store.change(added={"keywords": keywords}, numbered={"documents": rows.drop("_doc")})
+    postings = tables["inverted_index"].join(ids, doc).select(F.col("term").alias("word"), "document_id", "frequency", "positions")
+    store.replace_postings(postings, ids.select(F.col("document_id").alias("doc_id")))
+    return ids.select(doc, F.col("document_id").alias("id"))
+
+
 def summary(docs: DataFrame, doc: str = "doc_id", keywords: int = textrank.TOP, shown: int = 5) -> DataFrame:
     """(doc, sid, sentence, score) of the leading sentences alone."""
     return concepts.leading_sentences(process(docs), doc, k=keywords, shown=shown)

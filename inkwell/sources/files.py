@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from ..functions.shared import small_batches
 from ..functions.text import normalized, strip
 
 MAX_MB, MAX_CHARS, LEAST_CHARS = 100, 500_000, 20
@@ -92,8 +93,14 @@ def _decoded(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
-def read_text(files: DataFrame) -> DataFrame:
-    """(path, text) of text files: UTF-8, else CP949, else Latin-1; empty files are left out. Only files that are not UTF-8 pass through Python."""
+def read_text(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(path, text) of text files: UTF-8, else CP949, else Latin-1. Only files that are not UTF-8 pass through Python.
+
+    An empty file has nothing to read: with errors there is a column error besides, which says so, and the file's text is null; else it is left out.
+    """
+    if errors:
+        empty = files.filter(F.coalesce(F.length("content"), F.lit(0)) == 0).select("path", F.lit(None).cast("string").alias("text"), F.lit("empty file").alias("error"))
+        return read_text(files).withColumn("error", F.lit(None).cast("string")).unionByName(empty)
     full = files.filter(F.length("content") > 0)
     good = F.is_valid_utf8(F.col("content").cast("string"))
     utf8 = full.filter(good).select("path", F.col("content").cast("string").alias("text"))
@@ -109,18 +116,26 @@ def typed_text(df: DataFrame, text: str = "text", label: str = "label") -> DataF
 def read_pdf(files: DataFrame, extractor: Callable[[bytes], dict]) -> DataFrame:
     """(path, page_num, text, font_sizes, title, author, subject, keywords, creator) of every page that is not blank.
 
-    extractor(content) returns {"metadata": {...}, "pages": [(text, [font sizes]), ...]}; pages count from 1.
+    extractor(content) returns {"metadata": {...}, "pages": [...]}; a page is (text, [font sizes]), or a list of spans (text, font size), which are
+    joined by a space, blank ones left out. Pages count from 1. Files go to Python a few at a time, and each file's pages come back by themselves.
     """
+    small_batches(files.sparkSession)
+
+    def page_of(page) -> tuple[str, list[float]]:
+        if isinstance(page, tuple):
+            return page[0], [float(x) for x in page[1]]
+        spans = [(text.strip(), float(size)) for text, size in page if text.strip()]
+        return " ".join(text for text, _ in spans), [size for _, size in spans]
+
     fields = ("title", "author", "subject", "keywords", "creator")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
             for path, content in zip(pdf.path, pdf.content, strict=True):
                 got = extractor(bytes(content))
                 meta = [str(got.get("metadata", {}).get(f) or "") for f in fields]
-                rows += [(path, i, text, [float(x) for x in sizes], *meta) for i, (text, sizes) in enumerate(got["pages"], 1) if text.strip()]
-            yield pd.DataFrame(rows, columns=["path", "page_num", "text", "font_sizes", *fields])
+                rows = [(path, i, text, sizes, *meta) for i, (text, sizes) in enumerate(map(page_of, got["pages"]), 1) if text.strip()]
+                yield pd.DataFrame(rows, columns=["path", "page_num", "text", "font_sizes", *fields])
 
     return files.select("path", "content").mapInPandas(run, "path string, page_num int, text string, font_sizes array<double>, title string, author string, subject string, keywords string, creator string")
 
