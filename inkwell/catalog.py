@@ -759,6 +759,14 @@ def ox_candidates(spark, d):
     return korean_sentences(spark, d).select("doc_id", "idx", F.col("r").alias("sentence"), quiz.fits_ox(F.col("r")).alias("fits"))
 
 
+@query()
+def ox_quiz(spark, d):
+    """True or false questions over these texts and their own keywords."""
+    rows = korean_docs(spark, d)
+    parts = F.filter(F.transform(F.split("normal", r"[.]\s|\n", -1), lambda p: F.btrim(p, F.lit(" \t\n\x0b\x0c\r"))), lambda p: p != "")
+    return quiz.ox_quizzes(topped(rows.withColumn("sentences", t.pinned(parts))))
+
+
 #: Every third of them as a row of a table: a number, an English name and what it means.
 _ROWS = "CASE WHEN idx % 3 = 1 THEN idx || ' Term ' || r ELSE r END"
 
