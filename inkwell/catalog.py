@@ -247,7 +247,7 @@ def idf_raw(spark, d):
 
 @query(f"WITH {_D}, {_counts('d', 'c')}, {_VOCAB} SELECT term, round(sum(ln(1 + tf) * idf) / (SELECT count(*) FROM d), 6) AS score FROM c JOIN v USING (term) GROUP BY term")
 def tfidf_corpus_mean(spark, d):
-    x = docs(spark, d)
+    x = kept(docs(spark, d).select("doc_id", "tokens"))  # read up to three times
     vocab, n = tfidf.fit_vocabulary(x)
     vocab = kept(vocab)
     return tfidf.corpus_scores(tfidf.transform(tfidf.vocabulary_counts(x, vocab), vocab), n)
