@@ -21,7 +21,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import pinned
 from .common import SPACE, words
 
 #: Phrases of boilerplate lines in English, German, French and Spanish, lower case.
@@ -110,10 +109,11 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFr
     df = df.withColumn("n_lines_removed", (F.size("_lines") - F.size("_kept_lines")).cast("long"))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.repeat_percent))
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("left_chars") * 100 >= F.col("word_chars") * rules.least_left_percent))
-    # A filter on measures would be pushed below them and have them computed over and over; it does not get past a pinned column.
+    # A filter on measures would be pushed below them and have them computed over and over; it does not get past _at. The measures themselves
+    # stay outside the condition, or what they have in common would be computed for each.
     keep = [c for c in docs.columns if c not in MEASURES and not c.startswith("_")] + [c for c in docs.columns if c in ("_row", "_text")]
-    df = df.select(*[F.col(f"`{c}`") for c in keep], pinned(F.struct(*MEASURES)).alias("_m"))
-    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_m.{c}").alias(c) for c in MEASURES])
+    df = df.select(*[F.col(f"`{c}`") for c in keep], *MEASURES, F.monotonically_increasing_id().alias("_at"))
+    return df.select(*[F.col(f"`{c}`") for c in keep], *[F.when(F.col("_at") >= 0, F.col(c)).alias(c) for c in MEASURES])
 
 
 def clean(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
