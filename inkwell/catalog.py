@@ -18,6 +18,7 @@ from .functions.shared import kept, shared_dir, spread
 from .functions.words import STOP_CODE, STOP_EN, STOP_KO, WEAK_SUBJECTS
 from .operators import chapters, concepts, index, layout, quiz, scores, sentences, similarity, store, textrank, tfidf
 from .operators.term_table import TermTable
+from .sources import files
 from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,6 +323,38 @@ def corpus_rank(spark, d):
     return textrank.corpus_rank(graph)[0].select("node", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_D}, {_counts('d', 'c')}, {_SINGLE}, {_TOP10}, {_SENT} SELECT sent.doc_id, sid, bool_or(contains(s, term)) AS has_keyword FROM sent JOIN top USING (doc_id) GROUP BY ALL")
+def keyword_sentences(spark, d):
+    """Whether each sentence holds one of its document's keywords."""
+    return topped(said(spark, d)).select("doc_id", F.posexplode(sentences.with_keywords(F.col("sentences"), F.col("keywords"))).alias("sid", "has_keyword"))
+
+
+_LISTS = "ls AS (SELECT d.doc_id, normal, coalesce(c, []::VARCHAR[]) AS c FROM dl d LEFT JOIN (SELECT doc_id, list(s ORDER BY sid) AS c FROM sent GROUP BY doc_id) USING (doc_id))"
+
+
+@query(rf"""WITH {_D}, {_SENT}, {_LISTS} SELECT doc_id, len(c) = 0 AS fell_back, array_to_string(CASE WHEN len(c) > 0 THEN c
+  ELSE list_filter(list_transform(string_split(normal, chr(10)), lambda x: trim(x, {_SPACES})), lambda x: x <> '') END, ' | ') AS lines FROM ls""")
+def sentences_or_lines(spark, d):
+    """Sentences, or the lines of texts that have none."""
+    return said(spark, d).select("doc_id", (F.size("sentences") == 0).alias("fell_back"), F.array_join(sentences.or_lines(F.col("sentences"), F.col("normal")), " | ").alias("lines"))
+
+
+@query(f"WITH {_D}, {_SENT}, {_LISTS}, x AS (SELECT doc_id, ['첫 문장'] || c[2:] AS c FROM ls), e AS (SELECT doc_id, array_to_string(c[1:1] || c[3:] || ['새 문장'], chr(10)) AS content FROM x) SELECT doc_id, content, length(content)::INTEGER AS char_count FROM e")
+def edited_sentences(spark, d):
+    """The first sentence replaced, the second deleted, one added; saved as content."""
+    content = F.array_join(store.edit_sentences(F.col("sentences"), ["새 문장"], {0: "첫 문장"}, {1}), "\n")
+    return said(spark, d).select("doc_id", content.alias("content")).withColumn("char_count", F.length("content"))
+
+
+@query(f"""WITH x AS (SELECT doc_id, trim(substr(text, 1, 500000), {_SPACES}) AS text, CASE doc_id % 3 WHEN 0 THEN source WHEN 1 THEN '  ' END AS label FROM documents)
+SELECT doc_id, text, coalesce(nullif(trim(label), ''), '직접 입력') AS label FROM x WHERE length(text) >= 20""")
+def typed_texts(spark, d):
+    """Documents taken as typed: cut, stripped, with a label; short ones refused."""
+    kind = F.col("doc_id") % 3
+    x = table(spark, d, "documents").select("doc_id", "text", F.when(kind == 0, F.col("source")).when(kind == 1, "  ").alias("label"))
+    return files.typed_text(x).select("doc_id", "text", "label")
+
+
 # Similarity, coverage, gaps.
 
 
