@@ -18,6 +18,7 @@ from .functions.shared import kept, shared_dir, spread
 from .functions.words import STOP_CODE, STOP_EN, STOP_KO, WEAK_SUBJECTS
 from .operators import chapters, concepts, index, layout, quiz, scores, sentences, similarity, store, textrank, tfidf
 from .operators.term_table import TermTable
+from .plans import analysis
 from .sources import files
 from .streaming import live
 
@@ -1001,6 +1002,16 @@ def chapter_split(spark, d):
     return chapters.chapters(line_pages(spark, d)).withColumn("chapter_idx", F.col("chapter_idx").cast("int"))
 
 
+_CHAPTERS = _tok("(SELECT doc_id, chapter_idx, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM cp GROUP BY doc_id, chapter_idx)", "doc_id", "c", ", chapter_idx")
+
+
+@query(f"WITH {_PAGES}, {_CHAPTERS} SELECT doc_id, chapter_idx, language, array_to_string(tokens, ' ') AS tokens, len(tokens)::INTEGER AS token_count, len(list_distinct(tokens))::INTEGER AS unique_token_count FROM c")
+def chapter_tokens(spark, d):
+    """Each chapter processed by itself."""
+    done = analysis.process_chapters(line_pages(spark, d))
+    return done.select("doc_id", F.col("chapter_idx").cast("int").alias("chapter_idx"), "language", F.array_join("tokens", " ").alias("tokens"), "token_count", "unique_token_count")
+
+
 @query(f"WITH {_PAGES} SELECT doc_id, page_num, heading, title FROM tp")
 def heading_flag(spark, d):
     p = line_pages(spark, d)
