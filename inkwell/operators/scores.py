@@ -8,6 +8,11 @@ QUIZ, COVERAGE, DENSITY, PASS = 0.6, 0.3, 0.1, 60.0
 WHOLE = "전체"
 
 
+def average(c: Column) -> Column:
+    """One decimal of an average; the ninth comes first, since a sum of doubles may fall short of a half."""
+    return F.round(F.round(c, 9), 1)
+
+
 def score(correct: Column, total: Column, coverage: Column, density: Column) -> Column:
     """struct of quiz, coverage and density scores in percent, their weighted total, pass and grade."""
     quiz = correct / F.greatest(total, F.lit(1)) * 100
@@ -35,7 +40,7 @@ def subject_stats(documents: DataFrame, quizzes: DataFrame, scores: DataFrame, s
     docs = documents.select("doc_id", "subject")
     a = docs.groupBy("subject").agg(F.count(F.lit(1)).alias("document_count"))
     b = quizzes.join(docs, "doc_id").groupBy("subject").agg(F.count(F.lit(1)).alias("quiz_count"))
-    c = scores.join(docs, "doc_id").groupBy("subject").agg(F.round(F.avg("total_score"), 1).alias("avg_score"))
+    c = scores.join(docs, "doc_id").groupBy("subject").agg(average(F.avg("total_score")).alias("avg_score"))
     base = subjects if subjects is not None else a.select("subject")
     out = base.join(a, "subject", "left").join(b, "subject", "left").join(c, "subject", "left")
     zero = F.lit(0).cast("long")
@@ -56,7 +61,7 @@ def history(scores: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def document_report(documents: DataFrame, scores: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, title, session_count, best_score, avg_score, latest scores, grade, passed); zeros for documents without scores."""
-    sums = scores.groupBy(doc).agg(F.count(F.lit(1)).alias("session_count"), F.max("total_score").alias("best_score"), F.round(F.avg("total_score"), 1).alias("avg_score"))
+    sums = scores.groupBy(doc).agg(F.count(F.lit(1)).alias("session_count"), F.max("total_score").alias("best_score"), average(F.avg("total_score")).alias("avg_score"))
     new = latest(scores, doc).select(doc, "quiz_score", "coverage_score", "keyword_density", "total_score", "missing_concepts")
     out = documents.select(doc, "title").join(sums, doc, "left").join(new, doc, "left")
     zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("best_score", "avg_score", "quiz_score", "coverage_score", "keyword_density", "total_score")]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.scores import PASS, grade
+from ..operators.scores import PASS, average, grade
 
 _STATE = "n long, total double, best double, measured_at timestamp, id long, latest double"
 
@@ -55,5 +55,5 @@ def read_live(spark: SparkSession, root: str, doc: str = "doc_id") -> DataFrame:
     rows = spark.read.parquet(root).drop("batch")
     # A document's count of sessions only grows.
     new = rows.groupBy(doc).agg(F.max_by(F.struct(*[c for c in rows.columns if c != doc]), "session_count").alias("x")).select(doc, "x.*")
-    new = new.withColumn("avg_score", F.round(F.col("total") / F.col("session_count"), 1))
+    new = new.withColumn("avg_score", average(F.col("total") / F.col("session_count")))
     return new.select(doc, "session_count", "best_score", "avg_score", "total_score", "measured_at", (F.col("total_score") >= PASS).alias("passed"), grade(F.col("total_score")).alias("grade"))

@@ -36,3 +36,16 @@ def test_stream_equals_report(spark, tmp_path):
     late = rows[200:] + [(900, 3, None, 50.0), (901, 3, start, None)]
     spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(folder)
     assert run() == want(rows)
+
+
+def test_averages_at_a_half(spark, tmp_path):
+    """36.35 exactly, but 36.349999999999994 as a sum of doubles."""
+    rows = [(i, 1, datetime.datetime(2025, 1, i + 1), x, x, 0.0, 0.0, ["a"]) for i, x in enumerate((29.37, 38.0, 13.32, 64.71))]
+    schema = "id long, doc_id long, measured_at timestamp, total_score double, quiz_score double, coverage_score double, keyword_density double, missing_concepts array<string>"
+    history, titles = spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame([(1, "t", "s")], "doc_id long, title string, subject string")
+    assert scores.document_report(titles, history).first().avg_score == 36.4
+    assert scores.subject_stats(titles, titles.select("doc_id"), history).first().avg_score == 36.4
+    history.select("id", "doc_id", "measured_at", "total_score").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, doc_id long, measured_at timestamp, total_score double").parquet(str(tmp_path / "in"))
+    live.keep_live(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(180)
+    assert live.read_live(spark, str(tmp_path / "out")).first().avg_score == 36.4
