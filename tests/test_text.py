@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,18 @@ def test_long_sentences_are_refined(spark):
     assert "짧은 문장은 그대로 남는다." in got
     assert got[-1] == "가" * 151 + " 키:값"
     assert all(len(x) >= 15 for x in got)
+
+
+def test_normalising_equals_its_plain_form(spark):
+    """One pass over Latin-1 texts, and letters counted only where both kinds stand, against a regular expression and a count of every letter."""
+    rng = random.Random(3)
+    pool = [*map(chr, range(1, 300)), *"가힣나①⑩⑪Ａ～　！😀;K한é   ​  \t\t\n\n"]
+    rows = [(i, "".join(rng.choice(pool[: (127, 255, len(pool))[i % 3]]) for _ in range(rng.randrange(40)))) for i in range(3000)] + [(-1, None)]
+    got = t.normalized(spark.createDataFrame(rows, "id int, text string")).withColumn("language", t.detect_language(F.col("normal")))
+    plain = F.regexp_replace(F.regexp_replace(t.narrow(F.col("text")), t.DROPPED, " "), "[ \\t]+", " ")
+    ko, en = (F.regexp_count("normal", F.lit(kind)) for kind in (t.HANGUL, t.LATIN))
+    language = F.when(ko + en == 0, "ko").when(ko / (ko + en) >= 0.7, "ko").when(ko / (ko + en) <= 0.3, "en").otherwise("mixed")
+    composed = F.col("text").rlike(t.COMPOSES)  # those are tested above
+    assert got.filter(~composed & ~F.col("normal").eqNullSafe(t.strip(plain)) | ~F.col("language").eqNullSafe(language)).count() == 0
+    assert got.select("language").distinct().count() == 3
+    assert "regexp_extract_all" not in got.select("language")._jdf.queryExecution().toString()  # an array of all letters
