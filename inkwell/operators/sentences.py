@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.text import particle, pinned, strip
+from ..functions.text import HANGUL, let, particle, pinned, strip
 from ..functions.words import WEAK_SUBJECTS
 
 CIRCLED = "[①②③④⑤⑥⑦⑧⑨⑩]"
@@ -25,7 +25,7 @@ LABELS = (
 DASHED = ("정\\s*의:", "기\\s*호:", "표\\s*기:", "속\\s*성:", "주\\s*의:", "특\\s*징:", "예\\s*:", "실무\\s+예시:", "왜\\s+필요")
 TITLED = ("정의:", "왜\\s+필요", "실무\\s+예시:", "특징:", "목적:", "배경:", "개요:", "기호:", "표기:", "속성:", "주의:")
 SECTION = "^\\d[\\d\\-\\.]*[\\.\\s]+"
-SENTENCE_END = "(?U)(?<=[^0-9][.!?])\\s+"
+SENTENCE_END = "(?U)(?=\\s)(?<=[^0-9][.!?])\\s+"
 NUMBERED = "(?U)(?<=다)\\s+(?=\\d{1,2}[\\.\\)]\\s*[가-힣A-Z])"
 CLAUSE = "(?U)(?<=다)\\s+(?=[가-힣A-Z\\(])"
 LEAST, KEY = 15, 60
@@ -33,10 +33,13 @@ LEAST, KEY = 15, 60
 
 def marked(c: Column) -> Column:
     """Line breaks before circled numbers, (1), 1) and section numbers."""
-    c = F.regexp_replace(c, f"({CIRCLED})", "\n$1")
-    c = F.regexp_replace(c, "(?U)(\\(\\d{1,2}\\)\\s)", "\n$1")
-    c = F.regexp_replace(c, "(?U)(?<!\\w)(\\d{1,2}\\)\\s)", "\n$1")
-    return F.regexp_replace(c, "(?U)\\s+(\\d+[-\\.]\\d+\\.\\s+[가-힣A-Z])", "\n$1")
+    # Each pattern is tried where a text holds what it cannot match without.
+    c = let(F.when(c.rlike(CIRCLED), F.regexp_replace(c, f"({CIRCLED})", "\n$1")).otherwise(c), _numbered)
+    return let(c, lambda x: F.when(x.rlike("(?U)[-.]\\d+\\."), F.regexp_replace(x, "(?U)\\s+(\\d+[-\\.]\\d+\\.\\s+[가-힣A-Z])", "\n$1")).otherwise(x))
+
+
+def _numbered(c: Column) -> Column:
+    return F.when(c.rlike("(?U)\\d\\)"), F.regexp_replace(F.regexp_replace(c, "(?U)(\\(\\d{1,2}\\)\\s)", "\n$1"), "(?U)(?<!\\w)(\\d{1,2}\\)\\s)", "\n$1")).otherwise(c)
 
 
 def _pieces(c: Column, pattern: str) -> Column:
@@ -69,8 +72,8 @@ def labelled(p: Column) -> Column:
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: strip(F.regexp_replace(strip(x), "(?U)^-\\s*", "")))
     rest = F.transform(F.filter(rest, lambda x: F.length(x) >= 10), lambda x: F.concat_ws(" ", name, x))
     split_up = F.filter(F.concat(F.when(has_title, F.array(first)).otherwise(F.array().cast("array<string>")), rest), lambda x: F.length(x) >= LEAST)
-    # Most paragraphs have no label; only the others are taken apart.
-    return F.when(~flat.rlike(f"(?U)\\s(?:{'|'.join(LABELS)})"), F.array(p)).otherwise(F.when(F.size(parts) <= 1, F.array(p)).otherwise(split_up))
+    # Most paragraphs have no label; only the others are taken apart. Every label holds Hangul.
+    return F.when(~p.rlike(HANGUL), F.array(p)).when(~flat.rlike(f"(?U)\\s(?:{'|'.join(LABELS)})"), F.array(p)).otherwise(F.when(F.size(parts) <= 1, F.array(p)).otherwise(split_up))
 
 
 def _sentences_of(part: Column) -> Column:
