@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.arrays import gathered, numbered
+from ..functions.arrays import ROWS
 from ..functions.shared import small_batches
 from .term_table import TermTable
 
@@ -15,27 +15,30 @@ from .term_table import TermTable
 def build(docs: DataFrame, doc: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(term, doc, frequency, positions). Empty tokens are left out but take a position.
 
-    A document's postings come from its own row: nothing is shuffled. Rows are documents: those of one id are not put together.
+    A document's postings come from its own row: nothing is shuffled. The documents of an Arrow batch are sorted together. Rows are documents: those of one id are not put together.
     """
 
-    def rows(batches):
+    def run(batches):
         for batch in batches:
             lists = batch.column(1)
-            for i in range(batch.num_rows):
-                row = lists[i].values
-                if row is None or not len(row):
-                    continue
-                at = np.flatnonzero(pc.fill_null(pc.not_equal(row, ""), False).to_numpy(zero_copy_only=False))
-                if not len(at):
-                    continue
-                words, codes = numbered(row.take(pa.array(at)))
-                counts = np.bincount(codes, minlength=len(words))
-                positions = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(at[np.argsort(codes, kind="stable")], pa.int32()))
-                ids = batch.column(0).take(pa.array(np.full(len(words), i)))
-                yield [words, ids, pa.array(counts, pa.int64()), positions]
-
-    def run(batches):
-        return gathered(rows(batches), ["term", doc, "frequency", "positions"])
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = lists.flatten()
+            at = np.flatnonzero(pc.fill_null(pc.not_equal(words, ""), False).to_numpy(zero_copy_only=False))
+            if not len(at):
+                continue
+            of = np.repeat(np.arange(len(sizes)), sizes)[at]
+            position = at - (np.cumsum(sizes) - sizes)[of]
+            coded = words.take(pa.array(at)).dictionary_encode()
+            key = of * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(key, kind="stable")
+            starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+            first = order[starts]
+            ends = np.append(starts, len(order)).astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order].astype(np.int32)))
+            columns = [coded.dictionary.take(coded.indices.take(pa.array(first))), batch.column(0).take(pa.array(of[first])), pa.array(np.diff(ends).astype(np.int64)), positions]
+            found = pa.RecordBatch.from_arrays(columns, ["term", doc, "frequency", "positions"])
+            for k in range(0, found.num_rows, ROWS):
+                yield found.slice(k, ROWS)
 
     small_batches(docs.sparkSession)
     return docs.select(doc, tokens).mapInArrow(run, f"term string, `{doc}` {docs.schema[doc].dataType.simpleString()}, frequency long, positions array<int>")

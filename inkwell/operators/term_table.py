@@ -19,13 +19,14 @@ assumed. A null term or id is not kept.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
-from ..functions.shared import kept
+from ..functions.shared import forget, kept
 
-#: Terms that a filter on the postings names one by one; more of them are joined.
+#: Terms that a filter on the postings names one by one; if there are more of them, their rows are found by the condition itself.
 NAMED = 500
 GRAM = 3
 
@@ -87,6 +88,9 @@ class TermTable:
     def replace(self, rows: DataFrame, docs: DataFrame | None = None) -> None:
         """rows in place of all that their documents had. docs (doc_id) names documents besides that have none any more."""
         new = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]).filter("term IS NOT NULL AND doc_id IS NOT NULL")
+        if not self._fs.exists(self._path(f"{self.root}/rows")):
+            self._fill(new)
+            return
         new = kept(new)  # read four times below
         changed = new.select("doc_id")
         if docs is not None:
@@ -96,18 +100,36 @@ class TermTable:
         if not touched:
             return
         old = self._files().filter(F.col("part").isin(*touched) & F.col("term").isNotNull()).select(*self.schema.names).join(changed, "doc_id", "left_anti").select(*self.schema.names)
-        placed = old.unionByName(new).withColumn("part", self._part(F.col("doc_id"))).withColumn("bucket", _hash(F.col("term"), self.buckets))
+        placed = self._placed(old.unionByName(new))
         empty = self.spark.range(self.buckets).select(F.explode(F.array(*map(F.lit, touched))).alias("part"), F.col("id").cast("int").alias("bucket"))
         placed = placed.unionByName(empty, allowMissingColumns=True)
         self._learn(new)
+        self._writer(placed).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.root}/rows")
+        forget(new)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", self._part(F.col("doc_id"))).withColumn("bucket", _hash(F.col("term"), self.buckets))
+
+    def _writer(self, placed: DataFrame) -> DataFrameWriter:
         # Folders are split over tasks where they are large and put together where they are small.
-        placed.hint("rebalance", "part", "bucket").sortWithinPartitions("part", "bucket", "term", "doc_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "bucket").parquet(f"{self.root}/rows")
+        return placed.hint("rebalance", "part", "bucket").sortWithinPartitions("part", "bucket", "term").write.partitionBy("part", "bucket")
+
+    def _fill(self, new: DataFrame) -> None:
+        """The first rows of a table without any: nothing to compare them with, so they are written once. They get their name when their terms are known."""
+        path = f"{self.root}/first-{uuid.uuid4().hex}"
+        self._writer(self._placed(new)).parquet(path)
+        self._learn(self.spark.read.schema(new.schema).parquet(path))
+        if not self._fs.rename(self._path(path), self._path(f"{self.root}/rows")):
+            raise OSError(f"{path} could not be renamed")
 
     def _learn(self, new: DataFrame) -> None:
         """Terms that the table has not met yet, with their trigrams. They come before the rows: terms without rows do no harm."""
         terms = new.select("term").distinct().join(self._terms().select("term"), "term", "left_anti").select("term", _hash(F.col("term"), self.buckets).alias("bucket"))
         terms = kept(terms)  # the same ones in both lists
-        grams = terms.select(F.explode(trigrams(F.lower("term"))).alias("gram"), "term", "bucket").withColumn("at", _hash(F.col("gram"), self.buckets))
+        # A trigram that a term holds twice may stand twice: searches count different ones.
+        grams = terms.filter(F.length(F.lower("term")) >= GRAM).select(F.lower("term").alias("low"), "term", "bucket")
+        grams = grams.select(F.explode(F.sequence(F.lit(1), F.length("low") - (GRAM - 1))).alias("i"), "low", "term", "bucket")
+        grams = grams.select(F.substring("low", F.col("i"), F.lit(GRAM)).alias("gram"), "term", "bucket").withColumn("at", _hash(F.col("gram"), self.buckets))
         # Trigrams first: a term that stands in the list of terms has all its trigrams, whatever fails between.
         grams.hint("rebalance", "at").sortWithinPartitions("at", "gram").write.mode("append").partitionBy("at").parquet(f"{self.root}/grams")
         terms.sortWithinPartitions("term").write.mode("append").parquet(f"{self.root}/terms")
@@ -133,21 +155,23 @@ class TermTable:
         found = self._grams().filter(F.col("at").isin(*{_place(g, self.buckets) for g in grams}) & F.col("gram").isin(*grams))
         return found.groupBy("term", "bucket").agg(F.count_distinct("gram").alias("n")).filter((F.col("n") == len(grams)) & holds).select("term", "bucket")
 
-    def _rows_of(self, terms: DataFrame) -> DataFrame:
+    def _rows_of(self, terms: DataFrame, holds: Column) -> DataFrame:
+        """The rows of terms, which are all that fulfil the condition: named one by one, or, if they are too many, by the condition itself. Nothing is joined."""
         found = terms.limit(NAMED + 1).collect()
         if len(found) <= NAMED:
             return self._files().filter(F.col("bucket").isin(*{r.bucket for r in found}) & F.col("term").isin(*{r.term for r in found})).select(*self.schema.names)
-        buckets = [r[0] for r in terms.select("bucket").distinct().collect()]  # at most one row a bucket
-        return self._files().filter(F.col("bucket").isin(*buckets)).join(terms.select("term").distinct(), "term", "left_semi").select(*self.schema.names)
+        return self._files().filter(holds).select(*self.schema.names)
 
     def containing(self, query: str) -> DataFrame:
         """The rows whose term holds the query, in any case; none if it is blank."""
         q = query.strip().lower()
         if not q:
             return self.rows().limit(0)
-        return self._rows_of(self._matching([q], F.lower("term").contains(q)))
+        holds = F.lower("term").contains(q)
+        return self._rows_of(self._matching([q], holds), holds)
 
     def like(self, query: str) -> DataFrame:
         """The rows whose term is like %query% in any case; % and _ in the query stand for what they do in LIKE."""
         pieces = re.split("[%_\\\\]", query.lower())
-        return self._rows_of(self._matching(pieces, F.col("term").ilike(f"%{query}%")))
+        holds = F.col("term").ilike(f"%{query}%")
+        return self._rows_of(self._matching(pieces, holds), holds)

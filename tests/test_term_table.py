@@ -7,6 +7,7 @@ from pathlib import Path
 
 import pytest
 
+from inkwell.functions.shared import kept
 from inkwell.operators import index
 from inkwell.operators.term_table import TermTable
 
@@ -116,3 +117,15 @@ def test_stream_replaces_files(spark, tmp_path):
     emptied = spark.createDataFrame([(r.doc_id,) for r in ingest.read_index(spark, root).filter("term = '한글'").collect()], "doc_id long")
     TermTable(spark, root).replace(ingest.read_index(spark, root).limit(0), emptied)
     assert run() == [("cohesion", 2), ("coupling", 1), ("module", 1)]
+
+
+def test_many_terms_are_found_without_a_join_and_first_rows_written_once(spark, tmp_path, rows, monkeypatch):
+    monkeypatch.setattr("inkwell.operators.term_table.NAMED", 2)
+    written = []
+    monkeypatch.setattr("inkwell.operators.term_table.kept", lambda df, f=kept: written.append(df.columns) or f(df))
+    table = TermTable(spark, str(tmp_path / "once"), parts=5, buckets=7)
+    table.replace(spark.createDataFrame(rows, SCHEMA))
+    assert written == [["term", "bucket"]]  # the terms, not the rows
+    for found in (table.containing("co"), table.like("co")):
+        assert as_set(found) == plain(r for r in rows if "co" in r[0].lower())
+        assert "Join" not in found._jdf.queryExecution().toString()
