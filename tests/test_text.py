@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as t
 from inkwell.functions import words
-from inkwell.operators import sentences
+from inkwell.operators import sentences, tfidf
 
 
 def one(spark, value, f, kind="string"):
@@ -91,3 +91,11 @@ def test_normalising_equals_its_plain_form(spark):
     assert got.filter(~composed & ~F.col("normal").eqNullSafe(t.strip(plain)) | ~F.col("language").eqNullSafe(language)).count() == 0
     assert got.select("language").distinct().count() == 3
     assert "regexp_extract_all" not in got.select("language")._jdf.queryExecution().toString()  # an array of all letters
+
+
+def test_words_are_told_apart_before_they_are_rows(spark):
+    rows = [(1, ["a", "b", "a", None]), (2, None), (3, []), (4, ["b", "c", ""])]
+    words = tfidf.distinct_words(spark.createDataFrame(rows, "doc_id int, tokens array<string>").repartition(2))
+    assert sorted((r.word for r in words.collect()), key=str) == ["", None, "a", "b", "c"]
+    plan = words._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
